@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("frequency", "cooccurrence")
+MODULES = ("spelling", "frequency", "cooccurrence", "neardup")
 
 
 def modules() -> list:
