@@ -9,24 +9,22 @@ from pyspark.sql import functions as F
 BLOCK = 1024
 
 
-def bucket_pairs(rows: DataFrame, keys: list[str], id_col: str, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, of ids that share a bucket (equal keys).
+def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK) -> DataFrame:
+    """Distinct (a, b), a < b, of ids that share a bucket (equal key). rows: each (key, id) once.
 
-    Small buckets are joined on their keys. A bucket of more than `block` rows is cut into blocks by
-    the hash of the id; each row goes once to every pair of blocks that its own block is in, and the
-    pairs of blocks are joined as separate keys. So every pair of the bucket is met, by many tasks.
+    A bucket of two is its least and greatest id. Larger ones are joined on their key; one of more
+    than `block` rows is cut into blocks by the hash of the id, each row goes once to every pair of
+    blocks that its own block is in, and the pairs of blocks are joined as separate keys. So every
+    pair of the bucket is met, by many tasks.
     """
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    held = rows.join(sizes, keys).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("a"), F.max(id_col).alias("b")).filter("_n > 1")
+    twos = sizes.filter("_n = 2").select("a", "b")
+    held = rows.join(sizes.filter("_n > 2").select(key, "_n"), key).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
     mine = F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int")
     partners = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_mine")).alias("i"), F.greatest(k, F.col("_mine")).alias("j")))
-    spread = held.withColumn("_mine", mine).select(*keys, F.col(id_col).alias("_id"), "_mine", F.explode(partners).alias("_p")).select(*keys, "_id", "_mine", "_p.i", "_p.j")
+    spread = held.withColumn("_mine", mine).select(key, F.col(id_col).alias("_id"), "_mine", F.explode(partners).alias("_p")).select(key, "_id", "_mine", "_p.i", "_p.j")
     a, b = spread.alias("a"), spread.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*keys, "i", "j")]
-    cond = same[0]
-    for c in same[1:]:
-        cond &= c
-    cond &= F.col("a._id") < F.col("b._id")
+    cond = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a._id") < F.col("b._id"))
     # within a block pair (i, j) with i < j only rows of different blocks are paired; i == j pairs the block itself
     cond &= (F.col("a.i") == F.col("a.j")) | (F.col("a._mine") != F.col("b._mine"))
-    return a.join(b, cond).select(F.col("a._id").alias("a"), F.col("b._id").alias("b")).distinct()
+    return twos.unionByName(a.join(b, cond).select(F.col("a._id").alias("a"), F.col("b._id").alias("b"))).distinct()

@@ -44,7 +44,7 @@ COMMON_NAMES, COMMON_PART = 40, 6000
 #: A forename stands beside this many different words in names of two words, or this part of all names if more.
 FORENAME_PARTNERS, FORENAME_PART = 7, 16000
 
-_INNER = re.compile(r"(?<=[^\W\d_])[-‐‑–'’ʼ`´]\s?(?=[^\W_])")
+_INNER = re.compile(r"(?<=[^\W\d_])[-‐‑–'’ʼ`´](?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
 _OCR = (("0", "o"), ("1", "l"), ("5", "s"), ("8", "b"))
 

@@ -22,18 +22,22 @@ from .blocks import bucket_pairs
 class Settings:
     """words per shingle; bands of rows samples; least weighted Jaccard; least share of distinct shingles.
 
-    A pair of weighted similarity s is met with probability 1 - (1 - s**rows)**bands: 0.99 at 0.6
-    and 0.93 at 0.5 for 20 bands of 3. Edits of a fifth of the words lower the weighted similarity
-    more than the plain one, a mistyped word being the rarest; hence the lower bound on it. The
-    last word has `share`, the part of the distinct shingles of each that recur in the other.
-    Document frequencies are kept by hash in 2**df_bits counters, whatever the size of the input.
+    A pair of weighted similarity s is met with probability 1 - (1 - s**rows)**bands: 0.9997 at 0.8
+    and 0.92 at 0.7 for 28 bands of 7, and 0.001 at 0.25, where most pairs of one topic lie. The
+    logarithmic document frequency is held within `least_idf` and `most_idf`, so that a mistyped
+    word, the rarest of all, weighs no more than other rare ones; pairs with four in five words in
+    common then have 0.64 or more. The last word has `share`, the part of the distinct shingles of
+    each that recur in the other. Document frequencies are kept by hash in 2**df_bits counters,
+    whatever the size of the input.
     """
 
     words: int = 1
-    bands: int = 20
-    rows: int = 3
-    weighted: float = 0.4
+    bands: int = 28
+    rows: int = 7
+    weighted: float = 0.5
     share: float = 0.78
+    least_idf: float = 0.05
+    most_idf: float = 4.5
     df_bits: int = 18
     seed: int = 7
 
@@ -97,7 +101,7 @@ def band_hashes(docs: list[np.ndarray], idf: np.ndarray, s: Settings) -> np.ndar
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     least = np.minimum.reduceat(rank[inv], starts, axis=0)
     won = np.take_along_axis(mark, np.take_along_axis(order, least, axis=0), axis=0)
-    out = np.zeros((len(docs), s.bands), np.uint64)
+    out = np.tile(np.arange(s.bands, dtype=np.uint64), (len(docs), 1))
     with np.errstate(over="ignore"):
         for i in range(s.rows):
             out = (out ^ won[:, i :: s.rows]) * np.uint64(0x9E3779B97F4A7C15)
@@ -105,13 +109,14 @@ def band_hashes(docs: list[np.ndarray], idf: np.ndarray, s: Settings) -> np.ndar
     return out.view(np.int64)
 
 
-def idf_table(docs: DataFrame, shingles: str, bits: int) -> np.ndarray:
-    """1 + ln(documents / frequency) by the low bits of the shingle's hash; frequencies over all rows of docs."""
+def idf_table(docs: DataFrame, shingles: str, s: Settings) -> np.ndarray:
+    """ln(documents / frequency) by the low bits of the shingle's hash; frequencies over all rows of docs."""
+    bits = s.df_bits
     n = docs.count()
     seen = docs.select(F.explode(F.array_distinct(shingles)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit((1 << bits) - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n")).toPandas()
     freq = np.ones(1 << bits)
     freq[seen.k.to_numpy(np.int64)] = seen.n.to_numpy(float)
-    return (1 + np.log(max(n, 1) / np.minimum(freq, max(n, 1)))).astype(np.float64)
+    return np.clip(np.log(max(n, 1) / freq), s.least_idf, s.most_idf)
 
 
 @dataclass
@@ -137,18 +142,17 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
     recs = recs.select("scope", "id", shingled("_text", s.words).alias("sh")).filter(F.size("sh") > 0)
     recs = cut(recs.withColumn("class", F.unhex(F.md5(F.concat_ws(" ", F.coalesce("scope", F.lit("")), F.array_join(F.col("sh").cast("array<string>"), " "))))))
     spark = df.sparkSession
-    idf = spark.sparkContext.broadcast(idf_table(recs, "sh", s.df_bits))
-    classes = recs.groupBy("class").agg(F.any_value("sh").alias("sh"))
+    idf = spark.sparkContext.broadcast(idf_table(recs, "sh", s))
+    classes = cut(recs.groupBy("class").agg(F.any_value("sh").alias("sh")).withColumn("n", F.monotonically_increasing_id()))
 
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for part in _by_size(pdf, 40_000):
                 docs = [np.asarray(x, np.int64) for x in part.sh]
-                hashes = band_hashes(docs, idf.value, s)
-                yield pd.DataFrame({"class": np.repeat(part["class"].to_numpy(), s.bands), "band": np.tile(np.arange(s.bands, dtype=np.int32), len(part)), "hash": hashes.reshape(-1)})
+                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": band_hashes(docs, idf.value, s).reshape(-1)})
 
-    bands = cut(classes.mapInPandas(banded, "class binary, band int, hash bigint"))
-    near = bucket_pairs(bands, ["band", "hash"], "class")
+    bands = cut(classes.select("n", "sh").mapInPandas(banded, "n bigint, hash bigint"))
+    near = bucket_pairs(bands, "hash", "n")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask = len(idf.value) - 1
@@ -164,9 +168,13 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
             out = pd.concat([pdf[["a", "b"]], out], axis=1)
             yield out[(out.weighted >= s.weighted) & (out.share >= s.share - 1e-9)]
 
-    texts = classes.select("class", "sh")
-    told = near.join(texts.select(F.col("class").alias("a"), F.col("sh").alias("sh_a")), "a").join(texts.select(F.col("class").alias("b"), F.col("sh").alias("sh_b")), "b").select("a", "b", "sh_a", "sh_b")
-    return NearDuplicates(recs.select("scope", "id", "class"), told.mapInPandas(verified, "a binary, b binary, weighted double, share double"))
+    # most candidates fall to the share of short hashes; the rest are compared in full
+    brief = classes.select("n", F.array_distinct(F.transform("sh", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("u"))
+    told = near.join(brief.select(F.col("n").alias("a"), F.col("u").alias("ua")), "a").join(brief.select(F.col("n").alias("b"), F.col("u").alias("ub")), "b")
+    close = told.filter(F.size(F.array_intersect("ua", "ub")) >= F.greatest(F.size("ua"), F.size("ub")) * F.lit(s.share - 1e-6)).select("a", "b")
+    full = close.join(classes.select(F.col("n").alias("a"), F.col("sh").alias("sh_a"), F.col("class").alias("class_a")), "a").join(classes.select(F.col("n").alias("b"), F.col("sh").alias("sh_b"), F.col("class").alias("class_b")), "b")
+    pairs = full.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "sh_a", "sh_b")
+    return NearDuplicates(recs.select("scope", "id", "class"), pairs.mapInPandas(verified, "a binary, b binary, weighted double, share double"))
 
 
 def _by_size(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:

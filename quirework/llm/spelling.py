@@ -49,7 +49,7 @@ def qgram_bands(words: list[str], s: Banding) -> np.ndarray:
         h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
         h ^= h >> np.uint64(29)
         least = np.minimum.reduceat(h, starts, axis=0)
-        out = np.zeros((len(words), s.bands), np.uint64)
+        out = np.tile(np.arange(s.bands, dtype=np.uint64), (len(words), 1))
         for i in range(s.rows):
             out = (out ^ least[:, i :: s.rows]) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
@@ -64,10 +64,10 @@ def near_words(words: DataFrame, settings: Banding = Banding()) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), 2000):
                 part = pdf.word.iloc[i : i + 2000].tolist()
-                yield pd.DataFrame({"word": np.repeat(np.array(part, dtype=object), s.bands), "band": np.tile(np.arange(s.bands, dtype=np.int32), len(part)), "hash": qgram_bands(part, s).reshape(-1)})
+                yield pd.DataFrame({"word": np.repeat(np.array(part, dtype=object), s.bands), "hash": qgram_bands(part, s).reshape(-1)})
 
-    bands = cut(words.select("word").mapInPandas(banded, "word string, band int, hash bigint"))
-    return bucket_pairs(bands, ["band", "hash"], "word").withColumn("edits", F.levenshtein("a", "b", s.edits)).filter("edits >= 0")
+    bands = cut(words.select("word").mapInPandas(banded, "word string, hash bigint"))
+    return bucket_pairs(bands, "hash", "word").withColumn("edits", F.levenshtein("a", "b", s.edits)).filter("edits >= 0")
 
 
 def _monge_elkan(a: str, b: str):
