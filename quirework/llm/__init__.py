@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("spelling", "frequency", "clusters", "cooccurrence", "neardup")
+MODULES = ("spelling", "frequency", "clusters", "cooccurrence", "neardup", "packing", "mixing", "reading")
 
 
 def modules() -> list:
