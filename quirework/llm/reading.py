@@ -50,59 +50,10 @@ class Settings:
     folds: int = 5
 
 
-_ENDS = re.compile(r"[.!?]+[\"'”’)]*\s+|\n\s*\n")
-_WORDS = re.compile(r"[^\W\d_]+")
-
-
-def sentences(text: str, piece: int) -> list[list[str]]:
-    """The words of each sentence; a run of more than twice `piece` words without an end is cut into pieces."""
-    text = re.sub(r"(?<=[a-z])-\n(?=[a-z])", "", text)
-    out = []
-    for s in _ENDS.split(text.lower()):
-        w = _WORDS.findall(s)
-        if len(w) > 2 * piece:
-            out += [w[i : i + piece] for i in range(0, len(w), piece)]
-        elif w:
-            out.append(w)
-    return out
-
-
-def running_english(text: str | None, s: Settings) -> bool:
-    """Whether a text is English prose of the least length: no other language, list, index or table."""
-    if not text or len(text.strip()) < s.least_chars:
-        return False
-    n = len(text)
-    digits = n - len(text.translate(_NO_DIGITS))
-    if digits > s.digits * n:
-        return False
-    words = _WORDS.findall(text.lower())
-    if not words:
-        return False
-    english = sum(w in ENGLISH for w in words)
-    other = sum(w in OTHER for w in words)
-    return not (other > s.foreign * len(words) and 2 * other > english)
-
-
-_NO_DIGITS = {ord(c): None for c in "0123456789"}
-_NO_CAPITALS = {ord(c): None for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-
-
-class Lexicon:
-    """Mean level of the labelled documents that hold a word, by hash bucket; leave-one-fold-out on demand."""
-
-    def __init__(self, total: np.ndarray, count: np.ndarray, mean: float, prior: float = 2.0):
-        self.score = (total + prior * mean) / (count + prior)
-        self.sure = count > 0
-        self.mean = mean
-        self.at: dict[str, int] = {}
-
-    def bucket(self, w: str) -> int:
-        b = self.at.get(w)
-        if b is None:
-            b = bucket(w, len(self.score))
-            if len(self.at) < 300_000:
-                self.at[w] = b
-        return b
+_TOKENS = re.compile(r"[^\W\d_]+|[.!?]+(?=[\"'”’)\s]|$)|\n\s*\n")
+_BROKEN = re.compile(r"(?<=[a-z])-\n(?=[a-z])")
+QUANTILES = np.array([0.1, 0.25, 0.5, 0.75, 0.9])
+BANDS = 12
 
 
 def bucket(w: str, n: int) -> int:
@@ -112,42 +63,123 @@ def bucket(w: str, n: int) -> int:
     return (h ^ (h >> 29)) % n
 
 
-QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
-BANDS = 12
+class Lexicon(dict):
+    """A number for every token, with what is known of it by number.
 
+    score is the mean level of the labelled documents that hold the word (by hash bucket, drawn to
+    the mean of all), sure is 0 for words of no labelled document. Started anew when it holds `most`.
+    """
 
-def features(text: str, lex: Lexicon, s: Settings) -> list[float]:
-    """Distributions over the sentences of a text, weighted by their words."""
-    sents = sentences(text, s.piece) or [["-"]]
-    lens = np.array([len(x) for x in sents], float)
-    flat = [w for x in sents for w in x]
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-    b = np.fromiter(map(lex.bucket, flat), np.int64, len(flat))
-    score = lex.score[b]
-    sure = lex.sure[b].astype(float)
-    chars = np.fromiter(map(len, flat), np.int64, len(flat)).astype(float)
+    def __init__(self, total: np.ndarray, count: np.ndarray, mean: float, prior: float = 2.0, most: int = 400_000):
+        super().__init__()
+        self.by_bucket, self.counted, self.mean, self.most = (total + prior * mean) / (count + prior), count > 0, mean, most
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.rows: list[tuple[float, float, int, int, int, int]] = []
+        self.known = np.zeros((0, 6))
+
+    def __missing__(self, w: str) -> int:
+        if w[0].isalpha():
+            b = bucket(w, len(self.by_bucket))
+            self.rows.append((self.by_bucket[b], float(self.counted[b]), len(w), w in ENGLISH, w in OTHER, 0))
+        else:
+            self.rows.append((self.mean, 0.0, 0, 0, 0, 1))
+        n = len(self)
+        self[w] = n
+        return n
+
+    def table(self) -> np.ndarray:
+        """Rows by number: score, sure, letters, English, other, end of sentence."""
+        if len(self.known) < len(self.rows):
+            self.known = np.concatenate([self.known, np.array(self.rows[len(self.known) :], float)])
+        return self.known
+
+
+def measured(texts: list[str], lex: Lexicon, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(running English prose or not, features) of each text; all texts hold something.
+
+    Features are distributions over the sentences of a text, weighted by their words. An
+    unpunctuated run of more than twice s.piece words is cut into pieces.
+    """
+    if len(lex) > lex.most:
+        lex.reset()
+    ids, counts, plain = [], [], np.zeros((len(texts), 7))
+    for i, t in enumerate(texts):
+        if "-\n" in t:
+            t = _BROKEN.sub("", t)
+        b = np.frombuffer(t.encode("utf-8", "replace"), np.uint8)
+        plain[i] = len(t), np.count_nonzero((b >= 48) & (b <= 57)), np.count_nonzero((b >= 65) & (b <= 90)), t.count(","), t.count(";"), t.count('"'), t.count("?")
+        toks = _TOKENS.findall(t.lower())
+        ids.append(np.fromiter(map(lex.__getitem__, toks), np.int64, len(toks)))
+        counts.append(len(toks))
+    flat = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(texts)), counts)
+    about = lex.table()[flat]
+    end = about[:, 5] > 0
+    # sentences by number over all texts; a new one after each end and at each text
+    new = np.zeros(len(flat), np.int64)
+    new[1:] = end[:-1] | (doc[1:] != doc[:-1])
+    sent = np.cumsum(new)
+    word = ~end
+    flat, doc, sent, about = flat[word], doc[word], sent[word], about[word]
+    n_docs = len(texts)
+    per_doc = np.bincount(doc, minlength=n_docs)
+    if not len(flat):
+        return np.zeros(n_docs, bool), np.zeros((n_docs, 0))
+    starts = np.flatnonzero(np.r_[True, sent[1:] != sent[:-1]])
+    size = np.diff(np.append(starts, len(flat)))
+    place = np.arange(len(flat)) - np.repeat(starts, size)
+    piece = np.where(np.repeat(size, size) > 2 * s.piece, place // s.piece, 0)
+    starts = np.flatnonzero(np.r_[True, (sent[1:] != sent[:-1]) | (piece[1:] != piece[:-1])])
+    size = np.diff(np.append(starts, len(flat))).astype(float)
+    at = doc[starts]
+    score, sure, letters = about[:, 0], about[:, 1], about[:, 2]
     known = np.add.reduceat(sure, starts)
     level = np.where(known > 0, np.add.reduceat(score * sure, starts) / np.maximum(known, 1), lex.mean)
     high = np.maximum.reduceat(score * sure, starts)
-    word = np.add.reduceat(chars, starts) / lens
-    long = np.add.reduceat((chars >= 9).astype(float), starts) / lens
-    order = np.argsort(level, kind="stable")
-    share = np.cumsum(lens[order]) / lens.sum()
-    out: list[float] = []
-    for x in (level, high, word, lens, long):
-        o = order if x is level else np.argsort(x, kind="stable")
-        c = share if x is level else np.cumsum(lens[o]) / lens.sum()
-        out += [float(x[o[min(int(np.searchsorted(c, q)), len(o) - 1)]]) for q in QUANTILES]
-        out.append(float((x * lens).sum() / lens.sum()))
+    wide = np.add.reduceat(letters, starts) / size
+    long = np.add.reduceat((letters >= 9).astype(float), starts) / size
+    total = np.maximum(np.bincount(at, size, n_docs), 1)
+    base = np.concatenate([[0], np.cumsum(np.bincount(at, size, n_docs))])[:-1]
+    ends = np.cumsum(np.bincount(at, minlength=n_docs)) - 1
+    cols = []
+    for x in (level, high, wide, size, long):
+        order = np.lexsort((x, at))
+        run = np.cumsum(size[order])
+        for q in QUANTILES:
+            cols.append(x[order[np.minimum(np.searchsorted(run, base + q * total), np.maximum(ends, 0))]])
+        cols.append(np.bincount(at, x * size, n_docs) / total)
     edges = np.linspace(1, 4, BANDS + 1)[1:-1]
-    out += (np.bincount(np.digitize(level, edges), lens, BANDS) / lens.sum()).tolist()
-    n = max(len(text), 1)
-    out += [len(flat), len(set(flat)) / len(flat), text.count(",") / len(flat), text.count(";") / len(flat), text.count('"') / len(flat), text.count("?") / len(flat), (n - len(text.translate(_NO_CAPITALS))) / n, flat.count("and") / len(flat), flat.count("of") / len(flat), flat.count("the") / len(flat)]
-    # cohesion: words of five letters and more that neighbouring sentences share
-    sets = [{w for w in x if len(w) > 4} for x in sents]
-    over = [len(x & y) / max(1, min(len(x), len(y))) for x, y in zip(sets, sets[1:])] or [0.0]
-    out += [float(np.mean(over)), float(np.std(over))]
-    return out
+    cols += list((np.bincount(at * BANDS + np.digitize(level, edges), size, n_docs * BANDS).reshape(n_docs, BANDS) / total[:, None]).T)
+    n = np.maximum(per_doc, 1)
+    same = np.unique(doc * np.int64(len(lex) + 1) + flat) // np.int64(len(lex) + 1)
+    cols += [per_doc, np.bincount(same, minlength=n_docs) / n, *(plain[:, 3:] / n[:, None]).T, plain[:, 2] / np.maximum(plain[:, 0], 1)]
+    for w in ("and", "of", "the"):
+        cols.append(np.bincount(doc, flat == lex[w], n_docs) / n)
+    # cohesion: words of five letters and more that the sentence before holds too
+    long5 = letters >= 5
+    nth = np.repeat(np.arange(len(starts)), size.astype(np.int64))[long5]
+    key = np.unique(flat[long5] * np.int64(len(starts) + 1) + nth)
+    again = (key[1:] == key[:-1] + 1) & (key[1:] // (len(starts) + 1) == key[:-1] // (len(starts) + 1))
+    where = key[1:][again] % (len(starts) + 1)
+    met = np.bincount(where, minlength=len(starts)) * np.r_[False, at[1:] == at[:-1]]
+    ratio = met / np.maximum(size, 1)
+    pairs = np.maximum(np.bincount(at, minlength=n_docs) - 1, 1)
+    mean = np.bincount(at, ratio, n_docs) / pairs
+    cols += [mean, np.sqrt(np.maximum(np.bincount(at, ratio**2, n_docs) / pairs - mean**2, 0))]
+    english, other = np.bincount(doc, about[:, 3], n_docs), np.bincount(doc, about[:, 4], n_docs)
+    prose = (plain[:, 0] >= s.least_chars) & (plain[:, 1] <= s.digits * plain[:, 0]) & (per_doc > 0) & ~((other > s.foreign * per_doc) & (2 * other > english))
+    return prose, np.stack(cols, 1)
+
+
+def slices(pdf: pd.DataFrame, most: int = 4_000_000) -> Iterator[pd.DataFrame]:
+    """Rows with a text, in slices of about `most` characters; one row at least."""
+    pdf = pdf[pdf.text.map(lambda t: bool(t) and not t.isspace())]
+    if len(pdf):
+        for _, part in pdf.groupby((pdf.text.map(len).cumsum() // most).to_numpy(), sort=False):
+            yield part
 
 
 class Trees:
@@ -237,8 +269,10 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     seen = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), fold.alias("fold"), "level")
 
     def prose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lex = Lexicon(np.zeros(1), np.zeros(1), 0.0)
         for pdf in batches:
-            yield pdf[[running_english(t, s) for t in pdf.text]]
+            for part in slices(pdf):
+                yield part[measured(part.text.to_list(), lex, s)[0]]
 
     seen = cut(seen.mapInPandas(prose, seen.schema).dropDuplicates(["doc_id"]))
 
@@ -246,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         total, count = np.zeros(s.folds * s.buckets), np.zeros(s.folds * s.buckets)
         for pdf in batches:
             for t, f, y in zip(pdf.text, pdf.fold, pdf.level):
-                b = np.fromiter({bucket(w, s.buckets) for w in _WORDS.findall(t.lower())}, np.int64) + int(f) * s.buckets
+                b = np.fromiter({bucket(w, s.buckets) for w in set(_TOKENS.findall(t.lower())) if w[0].isalpha()}, np.int64) + int(f) * s.buckets
                 total[b] += y
                 count[b] += 1
         k = np.flatnonzero(count)
@@ -261,15 +295,15 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
         return None
     held = sc.broadcast((total, count, mean))
 
-    def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         t, c, m = held.value
         lex = [Lexicon(t.sum(0) - t[f], c.sum(0) - c[f], m) for f in range(s.folds)]
         for pdf in batches:
-            out = pdf[["doc_id", "source", "fold", "level"]].copy()
-            out["x"] = [features(t, lex[int(f)], s) for t, f in zip(pdf.text, pdf.fold)]
-            yield out
+            for f, own in pdf.groupby("fold"):
+                for part in slices(own):
+                    yield part[["doc_id", "source", "fold", "level"]].assign(x=list(measured(part.text.to_list(), lex[int(f)], s)[1]))
 
-    rows = seen.mapInPandas(measured, "doc_id bigint, source string, fold int, level double, x array<double>").toPandas().sort_values("doc_id", ignore_index=True)
+    rows = seen.mapInPandas(told, "doc_id bigint, source string, fold int, level double, x array<double>").toPandas().sort_values("doc_id", ignore_index=True)
     x, y, f = np.stack(rows.x.to_list()), rows.level.to_numpy(float), rows.fold.to_numpy(int)
     held_out = np.full(len(y), y.mean())
     for k in range(s.folds):
@@ -297,10 +331,11 @@ def levels(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         lexicon, trees, cuts = held.value
         lex = Lexicon(*lexicon)
         for pdf in batches:
-            pdf = pdf[[running_english(t, s) for t in pdf.text]]
-            if len(pdf):
-                score = trees.predict(np.array([features(t, lex, s) for t in pdf.text]))
-                yield pd.DataFrame({"doc_id": pdf.doc_id, "level": (1 + np.digitize(score, cuts)).astype(np.int32), "score": score})
+            for part in slices(pdf):
+                prose, x = measured(part.text.to_list(), lex, s)
+                if prose.any():
+                    score = trees.predict(x[prose])
+                    yield pd.DataFrame({"doc_id": part.doc_id[prose], "level": (1 + np.digitize(score, cuts)).astype(np.int32), "score": score})
 
     return docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInPandas(graded, "doc_id bigint, level int, score double")
 
