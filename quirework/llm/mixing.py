@@ -49,7 +49,7 @@ def rake(tokens: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], mo
     """
     rate = np.minimum(np.ones(len(tokens)), most)
     for _ in range(rounds):
-        worst = 0.0
+        start = rate
         for k in reversed(range(len(at))):
             for _ in range(20):
                 free = (rate < most) | (k > 0)
@@ -62,9 +62,7 @@ def rake(tokens: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray], mo
                 rate = new
                 if done or k > 0:
                     break
-            if k == 0:
-                worst = max(worst, float(np.max(np.abs(f - 1)[loose > 0], initial=0)))
-        if worst < tolerance:
+        if np.allclose(rate, start, rtol=tolerance, atol=0):
             break
     return rate
 

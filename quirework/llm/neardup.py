@@ -65,6 +65,10 @@ def _uniform(h: np.ndarray, j: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+#: Shingles of a single text that are sampled at a time.
+LARGE_BATCH = 20_000
+
+
 def icws(h: np.ndarray, weight: np.ndarray, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each weighted element: ln a (the least wins) and a hash of (element, t), for each sample."""
     h = h.astype(np.int64).view(np.uint64)
@@ -94,13 +98,23 @@ def band_hashes(docs: list[np.ndarray], idf: np.ndarray, s: Settings) -> np.ndar
     inv = inv.reshape(-1)
     w = (1 + np.log(both[:, 1])) * idf[(both[:, 0] & (len(idf) - 1)).astype(np.int64)]
     k = s.bands * s.rows
-    ln_a, mark = icws(both[:, 0], w, k, s.seed)
-    order = np.argsort(ln_a, axis=0, kind="stable")
-    rank = np.empty_like(order, dtype=np.int32)
-    np.put_along_axis(rank, order, np.arange(len(both), dtype=np.int32)[:, None], axis=0)
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-    least = np.minimum.reduceat(rank[inv], starts, axis=0)
-    won = np.take_along_axis(mark, np.take_along_axis(order, least, axis=0), axis=0)
+    if len(both) > LARGE_BATCH and len(docs) == 1:
+        # one very long text: the least so far is carried over parts of its shingles
+        best, won = np.full(k, np.inf), np.zeros((1, k), np.uint64)
+        for at in range(0, len(both), LARGE_BATCH):
+            ln_a, mark = icws(both[at : at + LARGE_BATCH, 0], w[at : at + LARGE_BATCH], k, s.seed)
+            i = ln_a.argmin(0)
+            less = ln_a[i, np.arange(k)] < best
+            best = np.where(less, ln_a[i, np.arange(k)], best)
+            won[0, less] = mark[i, np.arange(k)][less]
+    else:
+        ln_a, mark = icws(both[:, 0], w, k, s.seed)
+        order = np.argsort(ln_a, axis=0, kind="stable")
+        rank = np.empty_like(order, dtype=np.int32)
+        np.put_along_axis(rank, order, np.arange(len(both), dtype=np.int32)[:, None], axis=0)
+        least = np.minimum.reduceat(rank[inv], starts, axis=0)
+        won = np.take_along_axis(mark, np.take_along_axis(order, least, axis=0), axis=0)
     out = np.tile(np.arange(s.bands, dtype=np.uint64), (len(docs), 1))
     with np.errstate(over="ignore"):
         for i in range(s.rows):

@@ -266,7 +266,7 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     wanted = labels.filter("level BETWEEN 1 AND 4 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.avg("level").alias("level"))
     wanted = wanted.orderBy(F.xxhash64("doc_id")).limit(s.labelled)
     fold = F.pmod(F.xxhash64(F.lower(F.trim(F.coalesce("source", F.lit(""))))), F.lit(s.folds)).cast("int")
-    seen = docs.join(F.broadcast(wanted), "doc_id").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), fold.alias("fold"), "level")
+    seen = docs.select("doc_id", "text", "source").join(F.broadcast(wanted), "doc_id").select("doc_id", "text", F.coalesce("source", F.lit("")).alias("source"), fold.alias("fold"), "level")
 
     def prose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lex = Lexicon(np.zeros(1), np.zeros(1), 0.0)

@@ -29,7 +29,8 @@ def encoder(path: str = VOCABULARY):
 
 
 def token_sizes(df: DataFrame, text_col: str, path: str = VOCABULARY) -> DataFrame:
-    """df without the text and with `tokens`; 0 for null and empty texts. Whole texts are read."""
+    """df without the text and with `tokens` (a column of that name is replaced); 0 for null and empty texts. Whole texts are read."""
+    df = df.drop("tokens") if text_col != "tokens" else df
     keep = [f for f in df.schema if f.name != text_col]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["tokens bigint"])
     # small batches: texts may be long, and a worker's memory is bounded
