@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +32,25 @@ def local_session(cores: int = 8, shuffle_partitions: int | None = None, memory:
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not have it installed."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _SHIPPED:
+        _SHIPPED.add(sc.applicationId)
+        here = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="quirework-code-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        with zipfile.ZipFile(f"{folder}/{here.name}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(here.rglob("*.py")):
+                z.write(p, p.relative_to(here.parent).as_posix())
+        sc.addPyFile(f"{folder}/{here.name}.zip")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +66,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it, so that lineage ends and a lost executor costs a re-read."""
+    ship(df.sparkSession)
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
