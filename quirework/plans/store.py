@@ -234,11 +234,12 @@ def win21_position_ids(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "notes").filter("position IS NOT NULL").filter(F.lower(F.trim("position")) != ABSTENTION)
     p = cut(n.groupBy("position").agg(F.count(F.lit(1)).alias("size")))
     sizes = p.groupBy("size").agg(F.count(F.lit(1)).alias("k"))
-    ahead = sizes.alias("a").join(sizes.alias("b"), F.col("b.size") > F.col("a.size"), "left").groupBy("a.size").agg(F.coalesce(F.sum("b.k"), F.lit(0)).alias("ahead"))
+    # distinct sizes are few (at most the root of twice the notes): one ordered pass over them
+    ahead = sizes.select("size", F.coalesce(F.sum("k").over(W.orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
     # ranks inside a size: by text, in ranges of its hash-free prefix, so a size shared by most positions is split
     head = F.substring("position", 1, 12)
     heads = p.groupBy("size", head.alias("head")).agg(F.count(F.lit(1)).alias("k")).withColumn("skip", F.sum("k").over(W.partitionBy("size").orderBy("head").rowsBetween(W.unboundedPreceding, -1)))
-    ranked = p.withColumn("head", head).withColumn("r", F.row_number().over(W.partitionBy("size", "head").orderBy("position"))).join(heads.select("size", "head", "skip"), ["size", "head"]).join(F.broadcast(ahead), "size")
+    ranked = p.withColumn("head", head).withColumn("r", F.row_number().over(W.partitionBy("size", "head").orderBy("position"))).join(heads.select("size", "head", "skip"), ["size", "head"]).join(ahead, "size")
     n = F.col("ahead") + F.coalesce("skip", F.lit(0)) + F.col("r")
     return ranked.select(F.format_string("pos-%07d", n).alias("position_id"), "position", "size")
 
