@@ -46,7 +46,7 @@ def decisions(log: DataFrame, key: list[str], order: str) -> DataFrame:
 
 def notes_with_front_matter(spark: SparkSession, folder: str) -> DataFrame:
     """(path, front, body) of markdown notes; a note without a closed front matter has a null front."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(folder).withColumn("path", F.input_file_name())
+    raw = spark.read.option("recursiveFileLookup", "true").text(folder, wholetext=True).withColumn("path", F.input_file_name())
     front = F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z", 1)
     has = F.col("value").rlike(r"(?s)\A---\r?\n.*?\r?\n---")
     return raw.select("path", F.when(has, front).alias("front"), F.when(has, F.regexp_extract("value", r"(?s)\A---\r?\n(.*?)\r?\n---\r?\n?(.*)\z", 2)).otherwise(F.col("value")).alias("body"))
@@ -54,7 +54,7 @@ def notes_with_front_matter(spark: SparkSession, folder: str) -> DataFrame:
 
 def records_with(spark: SparkSession, folder: str, key: str, schema: str) -> DataFrame:
     """JSON objects under a folder that carry a key; unreadable files are counted as null rows with their path."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder)
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
     told = raw.select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("r"), F.get_json_object("value", f"$.{key}").alias("has"))
     return told.filter("has IS NOT NULL").select("path", "r.*")
 
