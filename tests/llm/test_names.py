@@ -114,3 +114,21 @@ def test_word_clusters(spark):
     by = {r.id: r.community for r in members.collect()}
     assert by["golhezalef"] == by["golhezalfe"] and by["jesembeldel"] == by["jesembelrdel"] and len(set(by.values())) == 6
     assert edges.count() == 2
+
+
+def test_a_point_of_a_third_of_all_claims_keeps_its_words(spark):
+    said = "In {p} the red market was {v} by the old guild {w} while tall towers fell"
+    phrases = ("by way of tribute", "in hill villages", "on paper only")
+    rows = [(f"h{i}", said.format(p="Mobonmem", v=f"verb{i}", w=phrases[i % 3])) for i in range(100)]
+    rows += [(f"n{i}", f"In Place{i // 4} some thing{i} met other{i} {phrases[i % 3]}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, text string")
+    proper = spark.createDataFrame([("mobonmem",), *[(f"place{i}",) for i in range(50)]], "word string")
+    feats = {r.id: r for r in clusters.text_features(df, "id", "text", proper).collect()}
+    rare = set(feats["h0"].rare) & set(feats["h1"].rare)
+    assert rare & set(spark.sql("SELECT xxhash64('mobonmem') AS h").toPandas().h)
+    assert len(set(feats["h0"].pairs) & set(feats["h1"].pairs)) >= 3  # red market, old guild, tall towers
+    assert not set(feats["n0"].pairs) & set(feats["n9"].pairs)  # a phrase beside all places
+    members, _ = clusters.cluster_texts(df.filter("id < 'h2' OR id LIKE 'n%'"), "id", "text", proper=proper)
+    by = {r.id: r.community for r in members.collect()}
+    assert len({c for k, c in by.items() if k[0] == "h"}) == 1
+    assert all(by[f"n{i}"] != by["h0"] for i in range(200))
