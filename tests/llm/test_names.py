@@ -132,3 +132,27 @@ def test_a_point_of_a_third_of_all_claims_keeps_its_words(spark):
     by = {r.id: r.community for r in members.collect()}
     assert len({c for k, c in by.items() if k[0] == "h"}) == 1
     assert all(by[f"n{i}"] != by["h0"] for i in range(200))
+
+
+def test_communities_of_a_large_part_converge(spark):
+    # communities of fifty, sparse inside, in one connected part
+    import random
+
+    rnd = random.Random(5)
+    n, size = 2000, 50
+    edges = {(min(i, j), max(i, j)) for i in range(n) for j in [i // size * size + rnd.randrange(size) for _ in range(3)] if i != j}
+    edges |= {(i // size * size + k, i // size * size + k + 1) for i in range(0, n, size) for k in range(size - 1)}
+    edges |= {(i, (i + size) % n) if i + size < n else (0, i) for i in range(0, n, size)}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges)], "a bigint, b bigint, w double")
+
+    def quality(found):
+        by = {r.id: r.community for r in found.collect()}
+        degree, inside = {}, 0
+        for a, b in edges:
+            inside += by[a] == by[b]
+            for x in (a, b):
+                degree[by[x]] = degree.get(by[x], 0) + 1
+        return inside / len(edges) - sum(d * d for d in degree.values()) / (2 * len(edges)) ** 2, len(degree)
+
+    (q, k), (q_joins, k_joins) = quality(communities.modularity_communities(df)), quality(communities.modularity_communities(df, held=10))
+    assert q_joins >= q - 0.01 and abs(k - k_joins) <= 2
