@@ -68,3 +68,28 @@ def test_large_buckets_meet_every_pair_once(spark):
     df = spark.createDataFrame(rows, "k bigint, id bigint")
     got = [(r.a, r.b) for r in bucket_pairs(df, "k", "id", block=8).collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(70) for b in range(a + 1, 70)}
+
+
+def hot_texts(hot, other, seed=4):
+    """(id, words): one statement of 29 words with 0 to 6 edits, half of them unseen words, and unlike statements."""
+    rnd = random.Random(seed)
+    vocab = [f"v{i}" for i in range(300)]
+    base = rnd.sample(vocab, 29)
+    out = []
+    for i in range(hot):
+        words = list(base)
+        for j, at in enumerate(rnd.sample(range(29), rnd.randrange(1, 7))):
+            words[at] = f"new{i}x{j}" if j % 2 else rnd.choice(vocab)
+        out.append((f"h{i}", words))
+    return out + [(f"o{i}", rnd.sample(vocab, 29)) for i in range(other)]
+
+
+def test_a_statement_of_a_third_of_all_rows_is_found_whole(spark):
+    rows = hot_texts(200, 400)
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "id string, text string")
+    found = neardup.near_duplicates(df, "id", "text")
+    cls = {bytes(r["class"]): r.id for r in found.members.collect()}
+    got = {tuple(sorted((cls[bytes(r.a)], cls[bytes(r.b)]))) for r in found.pairs.collect()}
+    sets = {i: set(w) for i, w in rows}
+    want = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.78 * max(len(sets[x]), len(sets[y]))}
+    assert got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
