@@ -2,29 +2,86 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 #: Rows of a bucket that are paired in one step; larger buckets are split into blocks of about so many.
 BLOCK = 1024
 
 
 def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK) -> DataFrame:
-    """Distinct (a, b), a < b, of ids that share a bucket (equal key). rows: each (key, id) once.
+    """Distinct (a, b), a < b, of ids that share a bucket (equal key). rows: each (key, id) once, both numbers.
 
-    A bucket of two is its least and greatest id. Larger ones are joined on their key; one of more
-    than `block` rows is cut into blocks by the hash of the id, each row goes once to every pair of
-    blocks that its own block is in, and the pairs of blocks are joined as separate keys. So every
-    pair of the bucket is met, by many tasks.
+    The rows are shuffled once, by bucket. A bucket of at most `block` rows is paired where it
+    arrives; of a larger one a task keeps nothing but passes the rows on, and they are then cut into
+    blocks by the hash of the id: each row goes once to every pair of blocks that its own block is
+    in, and the pairs of blocks are joined as separate keys. So every pair is met, by many tasks.
     """
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("a"), F.max(id_col).alias("b")).filter("_n > 1")
-    twos = sizes.filter("_n = 2").select("a", "b")
-    held = rows.join(sizes.filter("_n > 2").select(key, "_n"), key).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64(id_col), F.col("_blocks")).cast("int")
-    partners = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_mine")).alias("i"), F.greatest(k, F.col("_mine")).alias("j")))
-    spread = held.withColumn("_mine", mine).select(key, F.col(id_col).alias("_id"), "_mine", F.explode(partners).alias("_p")).select(key, "_id", "_mine", "_p.i", "_p.j")
+    spread = rows.select(F.col(key).cast("bigint").alias("k"), F.col(id_col).cast("bigint").alias("i")).repartition("k").sortWithinPartitions("k", "i")
+
+    def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        keys, ids, passing = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for pdf in batches:
+            keys, ids = np.concatenate([keys, pdf.k.to_numpy(np.int64)]), np.concatenate([ids, pdf.i.to_numpy(np.int64)])
+            # the last bucket may go on in the next batch
+            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
+            yield from _runs(keys[:last], ids[:last], block, passing)
+            keys, ids = keys[last:], ids[last:]
+            if len(keys) > block or (passing is not None and len(keys) and keys[0] == passing):
+                passing = keys[0]
+                yield _large(keys, ids)
+                keys, ids = keys[:0], ids[:0]
+        yield from _runs(keys, ids, block, passing)
+
+    met = cut(spread.mapInPandas(paired, "a bigint, b bigint, large boolean"))
+    pairs = met.filter("NOT large").select("a", "b").distinct()
+    large = met.filter("large").select(F.col("a").alias("k"), F.col("b").alias("i"))
+    if large.isEmpty():
+        return pairs
+    return pairs.unionByName(_in_blocks(large, block)).distinct()
+
+
+def _large(keys: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"a": keys, "b": ids, "large": np.ones(len(keys), bool)})
+
+
+def _runs(keys: np.ndarray, ids: np.ndarray, block: int, passing: int | None) -> Iterator[pd.DataFrame]:
+    """The pairs of whole buckets; buckets above `block`, and the one that is passing, as they are."""
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    sizes = np.diff(np.r_[starts, len(keys)])
+    as_is = sizes > block
+    if passing is not None:
+        as_is |= keys[starts] == passing
+    if as_is.any():
+        held = np.repeat(as_is, sizes)
+        yield _large(keys[held], ids[held])
+    for size in np.unique(sizes[(sizes > 1) & ~as_is]):
+        at = starts[(sizes == size) & ~as_is]
+        x, y = np.triu_indices(size, 1)
+        step = max(1, 2_000_000 // len(x))
+        for i in range(0, len(at), step):
+            part = at[i : i + step, None]
+            a, b = ids[(part + x).ravel()], ids[(part + y).ravel()]
+            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(large=False)
+
+
+def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """(a, b), a < b, of rows (k, i) of large buckets."""
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    held = rows.join(sizes, "k").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    mine = F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int")
+    partners = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_mine")).alias("p"), F.greatest(k, F.col("_mine")).alias("q")))
+    spread = held.withColumn("_mine", mine).select("k", "i", "_mine", F.explode(partners).alias("_p")).select("k", "i", "_mine", "_p.p", "_p.q")
     a, b = spread.alias("a"), spread.alias("b")
-    cond = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & (F.col("a._id") < F.col("b._id"))
-    # within a block pair (i, j) with i < j only rows of different blocks are paired; i == j pairs the block itself
-    cond &= (F.col("a.i") == F.col("a.j")) | (F.col("a._mine") != F.col("b._mine"))
-    return twos.unionByName(a.join(b, cond).select(F.col("a._id").alias("a"), F.col("b._id").alias("b"))).distinct()
+    cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.i") < F.col("b.i"))
+    # within a block pair (p, q) with p < q only rows of different blocks are paired; p == q pairs the block itself
+    cond &= (F.col("a.p") == F.col("a.q")) | (F.col("a._mine") != F.col("b._mine"))
+    return a.join(b, cond).select(F.col("a.i").alias("a"), F.col("b.i").alias("b"))

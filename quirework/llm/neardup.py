@@ -40,17 +40,34 @@ class Settings:
     seed: int = 7
 
 
-def shingled(text: str, words: int):
-    """Sorted 64-bit hashes of the word shingles of a text column, repeated ones repeated; case, spacing and punctuation aside."""
+def shingled(df: DataFrame, text: str, words: int, as_col: str) -> DataFrame:
+    """df with the sorted 64-bit hashes of the word shingles of a text column, repeated ones repeated; case, spacing and punctuation aside.
+
+    Words are hashed once, into a column of their own; a shingle is the hash of a window of these.
+    """
     toks = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
     if words == 1:
-        grams = toks
-    else:
-        grams = F.when(F.size(toks) <= words, F.array(F.array_join(toks, " "))).otherwise(
-            F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - words + 1, F.lit(1))), lambda i: F.array_join(F.slice(toks, i, words), " "))
-        )
-        grams = F.filter(grams, lambda g: g != "")
-    return F.array_sort(F.transform(grams, lambda g: F.xxhash64(g)))
+        return df.withColumn(as_col, F.array_sort(F.transform(toks, lambda g: F.xxhash64(g))))
+    k = np.uint64(words)
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for seq in pdf["_h"]:
+                h = np.asarray(seq, np.int64).view(np.uint64)
+                n = max(len(h) - words + 1, 1)
+                z = np.full(n if len(h) else 0, k, np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(min(words, len(h))):
+                        z = (z ^ h[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+                        z ^= z >> np.uint64(29)
+                out.append(np.sort(z.view(np.int64)))
+            yield pdf.drop(columns="_h").assign(**{as_col: out})
+
+    hashed = df.withColumn("_h", F.transform(toks, lambda g: F.xxhash64(g)))
+    kept = [f for f in df.schema if f.name != as_col]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", `{as_col}` array<bigint>"
+    return hashed.select(*[f.name for f in kept], "_h").mapInPandas(windows, schema)
 
 
 def _uniform(h: np.ndarray, j: np.ndarray, salt: int) -> np.ndarray:
@@ -186,7 +203,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
     s = settings
     scope = F.col(f"`{scope_col}`").cast("string") if scope_col else F.lit("")
     recs = df.select(scope.alias("scope"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text")).filter("id IS NOT NULL AND _text IS NOT NULL")
-    recs = recs.select("scope", "id", shingled("_text", s.words).alias("sh")).filter(F.size("sh") > 0)
+    recs = shingled(recs, "_text", s.words, "sh").select("scope", "id", "sh").filter(F.size("sh") > 0)
     recs = cut(recs.withColumn("class", F.unhex(F.md5(F.concat_ws(" ", F.coalesce("scope", F.lit("")), F.array_join(F.col("sh").cast("array<string>"), " "))))))
     spark = df.sparkSession
     classes = cut(recs.groupBy("class").agg(F.any_value("sh").alias("sh")).withColumn("n", F.monotonically_increasing_id()))
@@ -198,8 +215,7 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
                 docs = [np.asarray(x, np.int64) for x in part.sh]
                 yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": band_hashes(docs, idf.value, s).reshape(-1)})
 
-    bands = cut(classes.select("n", "sh").mapInPandas(banded, "n bigint, hash bigint"))
-    near = bucket_pairs(bands, "hash", "n")
+    near = bucket_pairs(classes.select("n", "sh").mapInPandas(banded, "n bigint, hash bigint"), "hash", "n")
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask = len(idf.value) - 1

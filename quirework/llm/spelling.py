@@ -60,14 +60,17 @@ def near_words(words: DataFrame, settings: Banding = Banding()) -> DataFrame:
     """(a, b, edits), a < b, of distinct words within `edits` edits, met by MinHash banding. words: (word)."""
     s = settings
 
+    numbered = cut(words.select(F.monotonically_increasing_id().alias("n"), "word"))
+
     def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i in range(0, len(pdf), 2000):
-                part = pdf.word.iloc[i : i + 2000].tolist()
-                yield pd.DataFrame({"word": np.repeat(np.array(part, dtype=object), s.bands), "hash": qgram_bands(part, s).reshape(-1)})
+                part = pdf.iloc[i : i + 2000]
+                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": qgram_bands(part.word.tolist(), s).reshape(-1)})
 
-    bands = cut(words.select("word").mapInPandas(banded, "word string, hash bigint"))
-    return bucket_pairs(bands, "hash", "word").withColumn("edits", F.levenshtein("a", "b", s.edits)).filter("edits >= 0")
+    met = bucket_pairs(numbered.mapInPandas(banded, "n bigint, hash bigint"), "hash", "n")
+    met = met.join(numbered.select(F.col("n").alias("a"), F.col("word").alias("x")), "a").join(numbered.select(F.col("n").alias("b"), F.col("word").alias("y")), "b")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).withColumn("edits", F.levenshtein("a", "b", s.edits)).filter("edits >= 0")
 
 
 def _monge_elkan(a: str, b: str):
