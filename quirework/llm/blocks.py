@@ -15,73 +15,93 @@ from ..session import cut
 BLOCK = 1024
 
 
-def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK) -> DataFrame:
+def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK, bits: str | None = None, size: str | None = None, share: float = 0.0) -> DataFrame:
     """Distinct (a, b), a < b, of ids that share a bucket (equal key). rows: each (key, id) once, both numbers.
 
     The rows are shuffled once, by bucket. A bucket of at most `block` rows is paired where it
     arrives; of a larger one a task keeps nothing but passes the rows on, and they are then cut into
     blocks by the hash of the id: each row goes once to every pair of blocks that its own block is
     in, and the pairs of blocks are joined as separate keys. So every pair is met, by many tasks.
+
+    bits, size: a map of 64 bits with one bit for each element of the row's set, and the set's size.
+    Pairs whose maps alone show that less than `share` of the larger set is common are not given;
+    no pair above it is lost.
     """
-    spread = rows.select(F.col(key).cast("bigint").alias("k"), F.col(id_col).cast("bigint").alias("i")).repartition("k").sortWithinPartitions("k", "i")
+    carried = [F.col(bits).cast("bigint").alias("m"), F.col(size).cast("int").alias("s")] if bits else []
+    spread = rows.select(F.col(key).cast("bigint").alias("k"), F.col(id_col).cast("bigint").alias("i"), *carried).repartition("k").sortWithinPartitions("k")
 
     def paired(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys, ids, passing = np.empty(0, np.int64), np.empty(0, np.int64), None
+        held, passing = None, None
         for pdf in batches:
-            keys, ids = np.concatenate([keys, pdf.k.to_numpy(np.int64)]), np.concatenate([ids, pdf.i.to_numpy(np.int64)])
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(held):
+                continue
             # the last bucket may go on in the next batch
-            last = np.searchsorted(keys, keys[-1]) if len(keys) else 0
-            yield from _runs(keys[:last], ids[:last], block, passing)
-            keys, ids = keys[last:], ids[last:]
-            if len(keys) > block or (passing is not None and len(keys) and keys[0] == passing):
-                passing = keys[0]
-                yield _large(keys, ids)
-                keys, ids = keys[:0], ids[:0]
-        yield from _runs(keys, ids, block, passing)
-
-    met = cut(spread.mapInPandas(paired, "a bigint, b bigint, large boolean"))
+            keys = held.k.to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            yield from _runs(held.iloc[:last], block, passing, share)
+            held = held.iloc[last:]
+            if len(held) > block or held.k.iloc[0] == passing:
+                passing = held.k.iloc[0]
+                yield _large(held)
+                held = held.iloc[:0]
+        if held is not None:
+            yield from _runs(held, block, passing, share)
+
+    met = cut(spread.mapInPandas(paired, "a bigint, b bigint, m bigint, s int, large boolean"))
     pairs = met.filter("NOT large").select("a", "b").distinct()
-    large = met.filter("large").select(F.col("a").alias("k"), F.col("b").alias("i"))
+    large = met.filter("large").select(F.col("a").alias("k"), F.col("b").alias("i"), "m", "s")
     if large.isEmpty():
         return pairs
-    return pairs.unionByName(_in_blocks(large, block)).distinct()
+    return pairs.unionByName(_in_blocks(large, block, share if bits else None)).distinct()
 
 
-def _large(keys: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"a": keys, "b": ids, "large": np.ones(len(keys), bool)})
+def _large(rows: pd.DataFrame) -> pd.DataFrame:
+    out = pd.DataFrame({"a": rows.k.to_numpy(), "b": rows.i.to_numpy(), "m": np.int64(0), "s": np.int32(0), "large": True})
+    return out.assign(m=rows.m.to_numpy(), s=rows.s.to_numpy()) if "m" in rows else out
 
 
-def _runs(keys: np.ndarray, ids: np.ndarray, block: int, passing: int | None) -> Iterator[pd.DataFrame]:
+def _runs(rows: pd.DataFrame, block: int, passing: int | None, share: float) -> Iterator[pd.DataFrame]:
     """The pairs of whole buckets; buckets above `block`, and the one that is passing, as they are."""
-    if not len(keys):
+    if not len(rows):
         return
+    keys, ids = rows.k.to_numpy(), rows.i.to_numpy()
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     sizes = np.diff(np.r_[starts, len(keys)])
     as_is = sizes > block
     if passing is not None:
         as_is |= keys[starts] == passing
     if as_is.any():
-        held = np.repeat(as_is, sizes)
-        yield _large(keys[held], ids[held])
-    for size in np.unique(sizes[(sizes > 1) & ~as_is]):
-        at = starts[(sizes == size) & ~as_is]
-        x, y = np.triu_indices(size, 1)
-        step = max(1, 2_000_000 // len(x))
+        yield _large(rows[np.repeat(as_is, sizes)])
+    for n in np.unique(sizes[(sizes > 1) & ~as_is]):
+        at = starts[(sizes == n) & ~as_is]
+        x, y = np.triu_indices(n, 1)
+        step = max(1, 1_000_000 // len(x))
         for i in range(0, len(at), step):
             part = at[i : i + step, None]
-            a, b = ids[(part + x).ravel()], ids[(part + y).ravel()]
-            yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates().assign(large=False)
-
-
-def _in_blocks(rows: DataFrame, block: int) -> DataFrame:
-    """(a, b), a < b, of rows (k, i) of large buckets."""
+            p, q = (part + x).ravel(), (part + y).ravel()
+            if "m" in rows:
+                m, s = rows.m.to_numpy(), rows.s.to_numpy()
+                most = np.maximum(s[p], s[q]) * share - 1e-6
+                ok = (np.bitwise_count((m[p] & ~m[q]).view(np.uint64)) <= s[p] - most) & (np.bitwise_count((m[q] & ~m[p]).view(np.uint64)) <= s[q] - most)
+                p, q = p[ok], q[ok]
+            if len(p):
+                yield pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])}).drop_duplicates().assign(m=np.int64(0), s=np.int32(0), large=False)
+
+
+def _in_blocks(rows: DataFrame, block: int, share: float | None) -> DataFrame:
+    """(a, b), a < b, of rows (k, i, m, s) of large buckets."""
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
     held = rows.join(sizes, "k").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
     mine = F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int")
     partners = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_mine")).alias("p"), F.greatest(k, F.col("_mine")).alias("q")))
-    spread = held.withColumn("_mine", mine).select("k", "i", "_mine", F.explode(partners).alias("_p")).select("k", "i", "_mine", "_p.p", "_p.q")
+    spread = held.withColumn("_mine", mine).select("k", "i", "m", "s", "_mine", F.explode(partners).alias("_p")).select("k", "i", "m", "s", "_mine", "_p.p", "_p.q")
     a, b = spread.alias("a"), spread.alias("b")
     cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.i") < F.col("b.i"))
     # within a block pair (p, q) with p < q only rows of different blocks are paired; p == q pairs the block itself
     cond &= (F.col("a.p") == F.col("a.q")) | (F.col("a._mine") != F.col("b._mine"))
+    if share is not None:
+        most = F.greatest("a.s", "b.s") * F.lit(share) - 1e-6
+        for x, y in (("a", "b"), ("b", "a")):
+            cond &= F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m")))) <= F.col(f"{x}.s") - most
     return a.join(b, cond).select(F.col("a.i").alias("a"), F.col("b.i").alias("b"))

@@ -213,9 +213,12 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
         for pdf in batches:
             for part in _by_size(pdf, 40_000):
                 docs = [np.asarray(x, np.int64) for x in part.sh]
-                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": band_hashes(docs, idf.value, s).reshape(-1)})
+                maps = np.array([np.bitwise_or.reduce(np.uint64(1) << (d.view(np.uint64) >> np.uint64(40)) % np.uint64(64)) for d in docs]).view(np.int64)
+                sizes = np.array([1 + np.count_nonzero(d[1:] != d[:-1]) for d in docs], np.int32)
+                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": band_hashes(docs, idf.value, s).reshape(-1), "bits": np.repeat(maps, s.bands), "size": np.repeat(sizes, s.bands)})
 
-    near = bucket_pairs(classes.select("n", "sh").mapInPandas(banded, "n bigint, hash bigint"), "hash", "n")
+    # pairs that cannot share enough by their maps of 64 bits are dropped where they meet
+    near = bucket_pairs(classes.select("n", "sh").mapInPandas(banded, "n bigint, hash bigint, bits bigint, size int"), "hash", "n", bits="bits", size="size", share=s.share)
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask = len(idf.value) - 1
