@@ -84,9 +84,18 @@ def _padded(lists, width: int, dtype) -> np.ndarray:
     return out
 
 
+#: Similarities are ranked by steps of this size, and by chance inside a step.
+GRAIN = 0.1
+
+
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k most similar u of each v; edges: (v, u, sim), each once. Every task sends at most k rows of a v."""
-    return edges.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(F.desc("sim"), "u"))).filter(F.col("r") <= k).select("v", "u", "sim")
+    """The k most similar u of each v; edges: (v, u, sim), each once. Every task sends at most k rows of a v.
+
+    Among about equal ones chance decides (by hash), so that a record with many near copies keeps
+    ties to others as alike, and no group of copies is cut off.
+    """
+    rank = [F.desc(F.round(F.col("sim") / GRAIN)), F.xxhash64("v", "u")]
+    return edges.withColumn("r", F.row_number().over(W.partitionBy("v").orderBy(*rank))).filter(F.col("r") <= k).select("v", "u", "sim")
 
 
 def _compare(fa: list, wa: list, fb: list, wb: list) -> np.ndarray:
