@@ -116,12 +116,12 @@ def _compare(fa: list, wa: list, fb: list, wb: list) -> np.ndarray:
     return out
 
 
-def neighbour_graph(items: DataFrame, settings: Descent = Descent()) -> DataFrame:
+def neighbour_graph(items: DataFrame, settings: Descent = Descent(), seeds: DataFrame | None = None) -> DataFrame:
     """(v, u, sim): up to k approximate nearest neighbours of each item.
 
     items: (id bigint, feats array<int>, weights array<float>), ids distinct, features not 0; sim is
     the weighted Jaccard similarity. Items without a feature have no neighbour. An empty table
-    gives no rows.
+    gives no rows. seeds: (v, u), v < u, each once: pairs met elsewhere, which the descent starts from too.
     """
     s = settings
     edge = "v bigint, u bigint, sim float"
@@ -153,7 +153,18 @@ def neighbour_graph(items: DataFrame, settings: Descent = Descent()) -> DataFram
                     yield pd.DataFrame({"v": np.r_[ids[a], ids[b]], "u": np.r_[ids[b], ids[a]], "sim": np.r_[sim, sim].astype(np.float32)}).drop_duplicates(["v", "u"])
             last = rows.iloc[-s.steps :]
 
-    graph = cut(_best(turns.mapInPandas(beside, edge).groupBy("v", "u").agg(F.max("sim").alias("sim")), s.k))
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sim = _compare(pdf.fa.to_list(), pdf.wa.to_list(), pdf.fb.to_list(), pdf.wb.to_list())
+                v, u, sim = pdf.v[sim >= s.floor], pdf.u[sim >= s.floor], sim[sim >= s.floor].astype(np.float32)
+                yield pd.DataFrame({"v": np.r_[v, u], "u": np.r_[u, v], "sim": np.r_[sim, sim]})
+
+    start = turns.mapInPandas(beside, edge)
+    if seeds is not None:
+        x, y = items.toDF("v", "fa", "wa"), items.toDF("u", "fb", "wb")
+        start = start.unionByName(seeds.select("v", "u").join(x, "v").join(y, "u").mapInPandas(compared, edge))
+    graph = cut(_best(start.groupBy("v", "u").agg(F.max("sim").alias("sim")), s.k))
 
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -39,10 +39,15 @@ KINDS = frozenset(
 #: Short forms that are no subsequence of their word.
 SHORT = {"bros": "brotherhood"}
 
-#: A word is common from this many names on, or this part of all names if more; so at most parts * words of a name are held.
-COMMON_NAMES, COMMON_PART = 40, 6000
-#: A forename stands beside this many different words in names of two words, or this part of all names if more.
-FORENAME_PARTNERS, FORENAME_PART = 7, 16000
+#: A word is common from this many names on, if it stands beside so many different proper words, and beside another one in
+#: this part of its names: a kind of body stands beside many places, a surname, however frequent, beside few words.
+COMMON_NAMES, COMMON_MATES, COMMON_PART = 40, 20, 0.2
+#: A forename stands before this many different words in names of two words.
+FORENAME_PARTNERS = 7
+#: Letters of a proper word; where a name has none, its longest unknown word of the second number is one.
+PROPER, SHORT_PROPER = 6, 4
+#: Words and phrases that the driver may hold; they are those of a language, not of the data.
+MOST_WORDS = 1_000_000
 
 _INNER = re.compile(r"(?<=[^\W\d_])[-‐‑–'’ʼ`´](?=[^\W_])")
 _WORD = re.compile(r"[^\W_]+")
@@ -92,7 +97,7 @@ def _is_short_of(short: str, word: str) -> bool:
 
 @dataclass
 class Words:
-    """What is common in the names at hand. All parts are bounded: see COMMON_NAMES and FORENAME_PARTNERS."""
+    """What is common in the names at hand. All parts are those of a language: see MOST_WORDS."""
 
     forenames: dict[str, int]
     common: frozenset[str]
@@ -173,7 +178,7 @@ def parts(name: str, words: Words, final: bool) -> tuple[str, str, str, str, str
     """
     toks = fold(name)
     comma = "," in name
-    year, way, kinds, fores, initials, proper = "", "", [], [], [], []
+    year, way, kinds, fores, initials, proper, brief = "", "", [], [], [], [], []
     for w in toks:
         if w.isdigit():
             year = year or (w if len(w) == 4 else "")
@@ -183,10 +188,9 @@ def parts(name: str, words: Words, final: bool) -> tuple[str, str, str, str, str
             continue
         c = words.common_word(w)
         if c is None:
-            if len(w) >= 6:
-                proper.append(w)
-            elif final or len(w) < 6:
-                kinds.append(w)
+            (proper if len(w) >= PROPER else kinds).append(w)
+            if SHORT_PROPER <= len(w) < PROPER:
+                brief.append(w)
         elif c in DIRECTIONS:
             way = c
         elif c in STOPS:
@@ -197,6 +201,9 @@ def parts(name: str, words: Words, final: bool) -> tuple[str, str, str, str, str
             initials.append("." + c)
         else:
             kinds.append(c)
+    if not proper and brief:
+        proper = [max(brief, key=len)]
+        kinds.remove(proper[0])
     if not proper:
         return "", "", "", "", "", ""
     titles = [x[1:] for x in initials if x[0] == "."]
@@ -217,9 +224,20 @@ def parts(name: str, words: Words, final: bool) -> tuple[str, str, str, str, str
     return core, "p", fore, "" if fore or not initials else initials[0], "", ""
 
 
+def _learnt(df: DataFrame) -> pd.DataFrame:
+    out = df.limit(MOST_WORDS + 1).toPandas()
+    if len(out) > MOST_WORDS:
+        raise ValueError("more common words than a language has: the column holds no names")
+    return out
+
+
 def common_words(strings: DataFrame, name: str, forms: dict[str, list[str]]) -> Words:
-    """Learn forenames, common words and kind phrases from the distinct names. forms: forename by short form."""
-    n = strings.count()
+    """Learn forenames, common words and kind phrases from the distinct names. forms: forename by short form.
+
+    The bounds are of evidence, the same at every size; only the words that meet them come to the driver.
+    """
+    given = {w for f, ss in forms.items() for w in (f, *ss)}
+    known = KINDS | DIRECTIONS | given
 
     def tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -227,22 +245,31 @@ def common_words(strings: DataFrame, name: str, forms: dict[str, list[str]]) ->
             for s in pdf[name]:
                 toks = list(dict.fromkeys(w for w in fold(s) if len(w) > 1 and not w.isdigit() and w not in TITLES and w not in STOPS))
                 two = len(toks) == 2 and not any(w in KINDS or w in DIRECTIONS for w in toks)
-                given = 1 if "," in s else 0
-                rows += [(w, toks[1 - i] if two and i == given else "", int(two and i != given)) for i, w in enumerate(toks)]
-            yield pd.DataFrame(rows, columns=["word", "other", "last"])
-
-    least = max(FORENAME_PARTNERS, n // FORENAME_PART)
-    pairs = strings.select(name).mapInPandas(tokens, "word string, other string, last int").groupBy("word", "other").agg(F.count(F.lit(1)).alias("n"), F.sum("last").alias("last"))
-    seen = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.when(F.col("other") != "", 1)).alias("partners"), F.sum(F.when(F.col("other") != "", F.col("n")).otherwise(0)).alias("first"), F.sum("last").alias("last")).filter(F.col("n") >= least).toPandas()
-    given = {w for f, ss in forms.items() for w in (f, *ss)}
+                at = 1 if "," in s else 0
+                long = sorted((w for w in toks if len(w) >= PROPER and w not in known), key=len)[-2:]
+                for i, w in enumerate(toks):
+                    mate = next((x for x in reversed(long) if x != w), "") if w not in known else ""
+                    rows.append((w, toks[1 - i] if two and i == at else "", int(two and i != at), mate))
+            yield pd.DataFrame(rows, columns=["word", "other", "last", "mate"])
+
+    pairs = strings.select(name).mapInPandas(tokens, "word string, other string, last int, mate string").groupBy("word", "other", "mate").agg(F.count(F.lit(1)).alias("n"), F.sum("last").alias("last"))
+    seen = pairs.groupBy("word").agg(F.sum("n").alias("n"), F.count_distinct(F.when(F.col("other") != "", F.col("other"))).alias("partners"), F.count_distinct(F.when(F.col("mate") != "", F.col("mate"))).alias("mates"), F.sum(F.when(F.col("other") != "", F.col("n")).otherwise(0)).alias("first"), F.sum("last").alias("last"))
+    forename = (F.col("partners") >= FORENAME_PARTNERS) & (F.col("first") > F.col("last"))
+    common = (F.col("n") >= COMMON_NAMES) & (F.col("mates") >= COMMON_MATES) & (F.col("mates") >= COMMON_PART * F.col("n"))
+    seen = _learnt(seen.filter(forename | common | F.col("word").isin(sorted(given))).select("word", "n", forename.alias("forename"), common.alias("common")))
     df = dict(zip(seen.word, seen.n))
-    fores = {w: int(k) for w, k, p, a, b in zip(seen.word, seen.n, seen.partners, seen["first"], seen["last"]) if w not in KINDS and len(w) >= 2 and (w in given or p >= least and a > b)}
+    fores = {w: int(k) for w, k, f in zip(seen.word, seen.n, seen.forename) if w not in KINDS and len(w) >= 2 and (w in given or f)}
+    near = defaultdict(set)
+    for w in fores:
+        for d in _deletes(w, 1):
+            near[d].add(w)
     for w in sorted(fores, key=fores.get):
-        if w not in given and any(x != w and fores[x] >= 5 * fores[w] and (distance(w, x, 1) <= 1 or distance(w.replace("rn", "m"), x, 1) <= 1) for x in fores if abs(len(x) - len(w)) <= 2):
-            del fores[w]
-    fores |= {w: df.get(w, 0) for w in given}
-    often = max(COMMON_NAMES, n // COMMON_PART)
-    return Words(fores, frozenset(w for w, k in df.items() if k >= often and w not in fores))
+        if w not in given:
+            like = {x for v in (w, w.replace("rn", "m")) for d in _deletes(v, 1) for x in near.get(d, ()) if x != w and distance(v, x, 1) <= 1}
+            if any(fores.get(x, 0) >= 5 * fores[w] for x in like):
+                del fores[w]
+    fores |= {w: int(df.get(w, 0)) for w in given}
+    return Words(fores, frozenset(w for w, c in zip(seen.word, seen.common) if c and w not in fores))
 
 
 SCHEMA = "core string, kind string, fore string, initial string, phrase string, rest string"
@@ -251,7 +278,6 @@ SCHEMA = "core string, kind string, fore string, initial string, phrase string,
 def parsed(strings: DataFrame, name: str, forms: dict[str, list[str]]) -> tuple[DataFrame, Words]:
     """Every distinct name with its parts, cut, and the words learnt. Kind phrases in use by few names are no phrases."""
     words = common_words(strings, name, forms)
-    n = strings.count()
     sc = strings.sparkSession.sparkContext
 
     def reader(words: Words, final: bool):
@@ -271,6 +297,7 @@ def parsed(strings: DataFrame, name: str, forms: dict[str, list[str]]) -> tuple[
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in strings.schema) + ", " + SCHEMA
     first = strings.mapInPandas(reader(words, False), schema)
     full = F.forall(F.split("phrase", " "), lambda w: w.isin(sorted(KINDS | {w for w in words.common if len(w) > 5})))
-    used = first.filter((F.col("kind") == "t") & (F.col("phrase") != "") & full).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max(3, n // 20000)).toPandas()
+    used = first.filter((F.col("kind") == "t") & (F.col("phrase") != "") & full).groupBy("phrase").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 3)
+    used = _learnt(used)
     words = Words(words.forenames, words.common, {}, dict(zip(used.phrase, used.n.astype(int))))
     return cut(strings.mapInPandas(reader(words, True), schema)), words

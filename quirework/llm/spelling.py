@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut, table
 from .blocks import bucket_pairs
-from .nameparts import parsed
+from .nameparts import PROPER, parsed
 from .stars import star_clusters
 
 
@@ -87,7 +87,7 @@ def link_spellings(strings: DataFrame, name: str, weight: str, forms: dict[str,
     """(name, entity) of every name with a proper word. strings: distinct names with a weight.
 
     Names of one entity have one entity id, itself a spelling's parts. Null and empty names and
-    names without a proper word (six letters that are no common word) have no row. Persons are
+    names without a proper word (six letters, or four where none has six, that are no common word) have no row. Persons are
     told apart by forename, other names by kind, direction and year. An initial or a surname alone
     joins a person only where one person alone fits, initials of a body likewise; else they stand
     for themselves. Repeated names count once. An empty table gives no rows.
@@ -101,7 +101,8 @@ def link_spellings(strings: DataFrame, name: str, weight: str, forms: dict[str,
     named = cut(read.select("name", "weight", "core", "kind", "fore", "initial", "phrase", "rest", rest.alias("slots"), F.concat_ws("|", "core", rest).alias("node")))
     nodes = named.groupBy("node", "core", "slots").agg(F.sum("weight").alias("weight"), F.first("kind").alias("kind"), F.first("fore").alias("fore"), F.first("initial").alias("initial"), F.first("phrase").alias("phrase"), F.first("rest").alias("rest"))
     nodes = cut(nodes)
-    words = near_words(nodes.select(F.col("core").alias("word")).distinct(), settings)
+    # words of fewer letters stand for nobody but themselves
+    words = near_words(nodes.filter(F.length("core") >= PROPER).select(F.col("core").alias("word")).distinct(), settings)
     words = cut(words)
     a = nodes.select(F.col("core").alias("a"), "slots", F.col("node").alias("node_a"))
     b = nodes.select(F.col("core").alias("b"), "slots", F.col("node").alias("node_b"))

@@ -1,6 +1,7 @@
 """Spellings, stars, clusters and communities."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import clusters, communities, knn, spelling, stars
 from quirework.llm.nameparts import Words, distance, fold, parts
@@ -123,11 +124,12 @@ def test_a_point_of_a_third_of_all_claims_keeps_its_words(spark):
     rows += [(f"n{i}", f"In Place{i // 4} some thing{i} met other{i} {phrases[i % 3]}") for i in range(200)]
     df = spark.createDataFrame(rows, "id string, text string")
     proper = spark.createDataFrame([("mobonmem",), *[(f"place{i}",) for i in range(50)]], "word string")
-    feats = {r.id: r for r in clusters.text_features(df, "id", "text", proper).collect()}
-    rare = set(feats["h0"].rare) & set(feats["h1"].rare)
-    assert rare & set(spark.sql("SELECT xxhash64('mobonmem') AS h").toPandas().h)
-    assert len(set(feats["h0"].pairs) & set(feats["h1"].pairs)) >= 3  # red market, old guild, tall towers
-    assert not set(feats["n0"].pairs) & set(feats["n9"].pairs)  # a phrase beside all places
+    nodes = df.select(F.monotonically_increasing_id().alias("n"), "id", clusters._words("text").alias("tokens"))
+    number = {r.id: r.n for r in nodes.collect()}
+    told = {r.n: {tuple(t) for t in r.tell} for r in clusters.text_features(nodes.select("n", "tokens"), proper).collect()}
+    tell = {i: told[n] for i, n in number.items()}
+    assert len(tell["h0"] & tell["h1"]) >= 3  # red market, old guild, tall towers
+    assert not tell["n0"] & tell["n9"]  # a phrase beside all places
     members, _ = clusters.cluster_texts(df.filter("id < 'h2' OR id LIKE 'n%'"), "id", "text", proper=proper)
     by = {r.id: r.community for r in members.collect()}
     assert len({c for k, c in by.items() if k[0] == "h"}) == 1
@@ -156,3 +158,52 @@ def test_communities_of_a_large_part_converge(spark):
 
     (q, k), (q_joins, k_joins) = quality(communities.modularity_communities(df)), quality(communities.modularity_communities(df, held=10))
     assert q_joins >= q - 0.01 and abs(k - k_joins) <= 2
+
+
+def test_a_frequent_surname_is_no_common_word(spark):
+    import random
+
+    from quirework.llm.nameparts import common_words
+
+    rnd = random.Random(1)
+    coined = ["".join(rnd.choice("bdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(400)]
+    given = ["Robert", "Lucia", "Leopold", "Haldor", "Umar", "Ingrid", "Zacharias", "Tariq"]
+    names = [f"{g} {x} Gazelruwa" for g in given for x in [*"ABCDEFGHIJKLMNOP"]] + [f"{g} Gazelruwa {i}" for g in given for i in range(50)]
+    names += [f"{c.title()} Lighthouse" for c in coined] + [f"{g} {c.title()}" for g in given for c in coined[:60]] + [f"{c.title()} Smith" for c in given]
+    df = spark.createDataFrame([(n,) for n in sorted(set(names))], "name string")
+    words = common_words(df, "name", FORMS)
+    assert "gazelruwa" not in words.known and "lighthouse" in words.common and {"haldor", "tariq"} <= set(words.forenames)
+    assert parts("Robert Gazelruwa", words, True)[0] == "gazelruwa" and parts("Robert Smith", words, True)[0] == "smith"
+
+
+def test_words_as_they_are_read(spark):
+    words = ["gelkelmepa", "gelkelrnepa", "balsaagafa", "balzagafa", "zenvelbreusbom", "zenvelbrubom", "smith", "smyth"]
+    df = spark.createDataFrame([(w,) for w in words], "id string")
+    by = {r.id: r.community for r in clusters.cluster_words(df)[0].collect()}
+    assert by["gelkelmepa"] == by["gelkelrnepa"] and by["balsaagafa"] == by["balzagafa"] and by["zenvelbreusbom"] != by["zenvelbrubom"] and by["smith"] != by["smyth"]
+    beside = spark.createDataFrame([(w, "t|grain board") for w in words], "id string, with string")
+    by = {r.id: r.community for r in clusters.cluster_words(df, beside=beside)[0].collect()}
+    assert by["zenvelbreusbom"] == by["zenvelbrubom"]
+
+
+def test_one_changed_word_is_the_same_point_and_another_place_is_not(spark):
+    import random
+
+    rnd = random.Random(8)
+    adj, noun = [f"adj{i}" for i in range(30)], [f"noun{i}" for i in range(40)]
+    said = ("In {p} the {o} was sold by the {a} while the {g} stood", "It was the {g} that moved {p}: the {a} fed the {o} in the end", "Of the {o} little was left in {p}, where the {a} met the {g} at night")
+    rows, point = [], {}
+    for i in range(120):
+        slots = {k: f"{rnd.choice(adj)} {rnd.choice(noun)}" for k in "oag"}
+        for j in range(6):
+            own = dict(slots)
+            if j == 5:
+                own["g"] = f"other {own['g'].split()[1]}"
+            rows.append((f"{i}-{j}", said[j % 3].format(p=f"Placename{i // 2}", **own) + " for" + "".join(f" filler{rnd.randrange(400)}" for _ in range(6))))
+            point[f"{i}-{j}"] = i
+    df = spark.createDataFrame(rows, "id string, text string")
+    proper = spark.createDataFrame([(f"placename{i}",) for i in range(60)], "word string")
+    by = {r.id: r.community for r in clusters.cluster_texts(df, "id", "text", proper=proper)[0].collect()}
+    pairs = [(x, y) for x in by for y in by if x < y and by[x] == by[y]]
+    right = sum(point[x] == point[y] for x, y in pairs)
+    assert right >= 0.95 * 120 * 15 and right >= 0.99 * len(pairs), (right, len(pairs))
