@@ -15,7 +15,18 @@ from ..session import cut
 BLOCK = 1024
 
 
-def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK, bits: str | None = None, size: str | None = None, share: float = 0.0) -> DataFrame:
+#: More elements than a set has.
+ANY = 1 << 30
+
+
+def may_share(m_a: np.ndarray, s_a: np.ndarray, m_b: np.ndarray, s_b: np.ndarray, share: float, differ: int = ANY) -> np.ndarray:
+    """Whether sets with these maps of 64 bits and sizes can have `share` of the larger in common, and `differ` elements apart at most."""
+    common = np.maximum(s_a, s_b) * share - 1e-6
+    own_a, own_b = (np.bitwise_count((x & ~y).view(np.uint64)) for x, y in ((m_a, m_b), (m_b, m_a)))
+    return (own_a <= np.minimum(s_a - common, differ)) & (own_b <= np.minimum(s_b - common, differ))
+
+
+def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK, bits: str | None = None, size: str | None = None, share: float = 0.0, differ: int = ANY) -> DataFrame:
     """Distinct (a, b), a < b, of ids that share a bucket (equal key). rows: each (key, id) once, both numbers.
 
     The rows are shuffled once, by bucket. A bucket of at most `block` rows is paired where it
@@ -24,8 +35,8 @@ def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK, bit
     in, and the pairs of blocks are joined as separate keys. So every pair is met, by many tasks.
 
     bits, size: a map of 64 bits with one bit for each element of the row's set, and the set's size.
-    Pairs whose maps alone show that less than `share` of the larger set is common are not given;
-    no pair above it is lost.
+    Pairs whose maps alone show that less than `share` of the larger set is common, or that more than
+    `differ` elements of one are not in the other, are not given; no other pair is lost.
     """
     carried = [F.col(bits).cast("bigint").alias("m"), F.col(size).cast("int").alias("s")] if bits else []
     spread = rows.select(F.col(key).cast("bigint").alias("k"), F.col(id_col).cast("bigint").alias("i"), *carried).repartition("k").sortWithinPartitions("k")
@@ -39,21 +50,21 @@ def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK, bit
             # the last bucket may go on in the next batch
             keys = held.k.to_numpy()
             last = int(np.searchsorted(keys, keys[-1]))
-            yield from _runs(held.iloc[:last], block, passing, share)
+            yield from _runs(held.iloc[:last], block, passing, share, differ)
             held = held.iloc[last:]
             if len(held) > block or held.k.iloc[0] == passing:
                 passing = held.k.iloc[0]
                 yield _large(held)
                 held = held.iloc[:0]
         if held is not None:
-            yield from _runs(held, block, passing, share)
+            yield from _runs(held, block, passing, share, differ)
 
     met = cut(spread.mapInPandas(paired, "a bigint, b bigint, m bigint, s int, large boolean"))
     pairs = met.filter("NOT large").select("a", "b").distinct()
     large = met.filter("large").select(F.col("a").alias("k"), F.col("b").alias("i"), "m", "s")
     if large.isEmpty():
         return pairs
-    return pairs.unionByName(_in_blocks(large, block, share if bits else None)).distinct()
+    return pairs.unionByName(_in_blocks(large, block, share if bits else None, differ)).distinct()
 
 
 def _large(rows: pd.DataFrame) -> pd.DataFrame:
@@ -61,7 +72,7 @@ def _large(rows: pd.DataFrame) -> pd.DataFrame:
     return out.assign(m=rows.m.to_numpy(), s=rows.s.to_numpy()) if "m" in rows else out
 
 
-def _runs(rows: pd.DataFrame, block: int, passing: int | None, share: float) -> Iterator[pd.DataFrame]:
+def _runs(rows: pd.DataFrame, block: int, passing: int | None, share: float, differ: int) -> Iterator[pd.DataFrame]:
     """The pairs of whole buckets; buckets above `block`, and the one that is passing, as they are."""
     if not len(rows):
         return
@@ -73,6 +84,7 @@ def _runs(rows: pd.DataFrame, block: int, passing: int | None, share: float) ->
         as_is |= keys[starts] == passing
     if as_is.any():
         yield _large(rows[np.repeat(as_is, sizes)])
+    m, s = (rows.m.to_numpy(), rows.s.to_numpy()) if "m" in rows else (None, None)
     for n in np.unique(sizes[(sizes > 1) & ~as_is]):
         at = starts[(sizes == n) & ~as_is]
         x, y = np.triu_indices(n, 1)
@@ -80,16 +92,14 @@ def _runs(rows: pd.DataFrame, block: int, passing: int | None, share: float) ->
         for i in range(0, len(at), step):
             part = at[i : i + step, None]
             p, q = (part + x).ravel(), (part + y).ravel()
-            if "m" in rows:
-                m, s = rows.m.to_numpy(), rows.s.to_numpy()
-                most = np.maximum(s[p], s[q]) * share - 1e-6
-                ok = (np.bitwise_count((m[p] & ~m[q]).view(np.uint64)) <= s[p] - most) & (np.bitwise_count((m[q] & ~m[p]).view(np.uint64)) <= s[q] - most)
+            if m is not None:
+                ok = may_share(m[p], s[p], m[q], s[q], share, differ)
                 p, q = p[ok], q[ok]
             if len(p):
                 yield pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])}).drop_duplicates().assign(m=np.int64(0), s=np.int32(0), large=False)
 
 
-def _in_blocks(rows: DataFrame, block: int, share: float | None) -> DataFrame:
+def _in_blocks(rows: DataFrame, block: int, share: float | None, differ: int) -> DataFrame:
     """(a, b), a < b, of rows (k, i, m, s) of large buckets."""
     sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
     held = rows.join(sizes, "k").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
@@ -103,5 +113,5 @@ def _in_blocks(rows: DataFrame, block: int, share: float | None) -> DataFrame:
     if share is not None:
         most = F.greatest("a.s", "b.s") * F.lit(share) - 1e-6
         for x, y in (("a", "b"), ("b", "a")):
-            cond &= F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m")))) <= F.col(f"{x}.s") - most
+            cond &= F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m")))) <= F.least(F.col(f"{x}.s") - most, F.lit(float(differ)))
     return a.join(b, cond).select(F.col("a.i").alias("a"), F.col("b.i").alias("b"))

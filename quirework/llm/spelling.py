@@ -37,8 +37,8 @@ class Banding:
     likeness: float = 0.9
 
 
-def qgram_bands(words: list[str], s: Banding) -> np.ndarray:
-    """(words, bands) hashes of the minima over the padded q-grams of each word."""
+def qgram_bands(words: list[str], s: Banding) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(words, bands) hashes of the minima over the padded q-grams of each word; the q-grams' map of 64 bits, and their number."""
     pad = "\x02" * (s.q - 1)
     grams = [sorted({(pad + w + pad)[i : i + s.q] for i in range(len(w) + s.q - 1)}) for w in words]
     flat = pd.util.hash_array(np.array([g for gs in grams for g in gs], dtype=object), categorize=True)
@@ -53,7 +53,8 @@ def qgram_bands(words: list[str], s: Banding) -> np.ndarray:
         for i in range(s.rows):
             out = (out ^ least[:, i :: s.rows]) * np.uint64(0xD6E8FEB86659FD93)
             out ^= out >> np.uint64(32)
-    return out.view(np.int64)
+    maps = np.bitwise_or.reduceat(np.uint64(1) << (flat >> np.uint64(20)) % np.uint64(64), starts)
+    return out.view(np.int64), maps.view(np.int64), np.array([len(gs) for gs in grams], np.int32)
 
 
 def near_words(words: DataFrame, settings: Banding = Banding()) -> DataFrame:
@@ -66,9 +67,11 @@ def near_words(words: DataFrame, settings: Banding = Banding()) -> DataFrame:
         for pdf in batches:
             for i in range(0, len(pdf), 2000):
                 part = pdf.iloc[i : i + 2000]
-                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": qgram_bands(part.word.tolist(), s).reshape(-1)})
+                hashes, maps, sizes = qgram_bands(part.word.tolist(), s)
+                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": hashes.reshape(-1), "bits": np.repeat(maps, s.bands), "size": np.repeat(sizes, s.bands)})
 
-    met = bucket_pairs(numbered.mapInPandas(banded, "n bigint, hash bigint"), "hash", "n")
+    # an edit changes q q-grams at most, so words whose maps show more are dropped where they meet
+    met = bucket_pairs(numbered.mapInPandas(banded, "n bigint, hash bigint, bits bigint, size int"), "hash", "n", bits="bits", size="size", differ=s.q * s.edits)
     met = met.join(numbered.select(F.col("n").alias("a"), F.col("word").alias("x")), "a").join(numbered.select(F.col("n").alias("b"), F.col("word").alias("y")), "b")
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).withColumn("edits", F.levenshtein("a", "b", s.edits)).filter("edits >= 0")
 
