@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut, table
+from .blocks import pairs_within
 
 #: Hash steps among baskets of like size, and the most baskets that are told apart by size (they are broadcast).
 STEPS, LARGE = 64, 10_000
@@ -30,12 +31,15 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 5, overl
     Pairs with n_both >= min_count and n_both >= overlap * baskets with either. Rows with a null
     basket or item are in no pair; repeated rows count once; n_baskets counts the distinct baskets
     with an item. lift = n_both * n_baskets / (n_a * n_b), pmi is its binary logarithm. Without
-    two items in one basket the result is empty. overlap must be above 0.
+    two items in one basket the result is empty. With overlap 0 every pair of every basket is counted
+    and nothing else decides than min_count; a basket of many items is then paired in blocks, by many tasks.
     """
-    if not 0 < overlap <= 1 or min_count < 1:
-        raise ValueError("overlap must be in (0, 1] and min_count at least 1")
+    if not 0 <= overlap <= 1 or min_count < 1:
+        raise ValueError("overlap must be in [0, 1] and min_count at least 1")
     held = cut(df.select(F.col(f"`{basket}`").alias("basket"), F.col(f"`{item}`").alias("item")).dropna().distinct())
     n_baskets = held.select("basket").distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
+    if overlap == 0:
+        return _all_pairs(held, n_baskets, min_count)
     # the common order of baskets, in steps by hash; the largest, at most LARGE of them, come last by size
     least = max(64, held.count() // LARGE)
     large = held.groupBy("basket").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= least)
@@ -60,8 +64,23 @@ def pair_counts(df: DataFrame, basket: str, item: str, min_count: int = 5, overl
     both = left.join(inc.withColumnRenamed("item", "item_b"), ["item_b", "basket"], "left_semi")
     counted = both.groupBy("item_a", "item_b").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"))
     kept = counted.filter((F.col("n_both") >= min_count) & (F.col("n_both") >= F.lit(overlap) * (F.col("n_a") + F.col("n_b") - F.col("n_both"))))
+    return _against_chance(kept, n_baskets)
+
+
+def _against_chance(counted: DataFrame, n_baskets) -> DataFrame:
     lift = F.col("n_both") * F.col("n_baskets") / (F.col("n_a").cast("double") * F.col("n_b"))
-    return kept.withColumn("n_baskets", n_baskets).select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets", lift.alias("lift"), F.log2(lift).alias("pmi"))
+    return counted.withColumn("n_baskets", n_baskets).select("item_a", "item_b", "n_both", "n_a", "n_b", "n_baskets", lift.alias("lift"), F.log2(lift).alias("pmi"))
+
+
+def _all_pairs(held: DataFrame, n_baskets, min_count: int) -> DataFrame:
+    """Every pair in min_count baskets: pairs are emitted by number, counted in each task first, and named at the end."""
+    items = cut(held.groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_count).withColumn("id", F.monotonically_increasing_id()))
+    met = pairs_within(cut(held.join(items, "item").select(F.col("basket").alias("k"), F.col("id").alias("i"))))
+    counts = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_both")).filter(F.col("n_both") >= min_count)
+    x, y = items.select(F.col("id").alias("a"), F.col("item").alias("x"), F.col("n").alias("n_x")), items.select(F.col("id").alias("b"), F.col("item").alias("y"), F.col("n").alias("n_y"))
+    first = F.col("x") < F.col("y")
+    named = counts.join(x, "a").join(y, "b").select(F.least("x", "y").alias("item_a"), F.greatest("x", "y").alias("item_b"), "n_both", F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"))
+    return _against_chance(named, n_baskets)
 
 
 def _fewest(n, min_count: int, overlap: float):

@@ -22,14 +22,13 @@ from .tokens import VOCABULARY, token_sizes
 class Mix:
     """total: tokens to draw, or None for the most that all shares and repeats allow.
 
-    The most frequent `languages` and `topics` are told apart, the rest are one group each, so the
-    cells are at most sources x (languages + 1) x (topics + 1). The draw of a source's texts of like
+    All sources, languages and topics are told apart; their cells, as they occur, are held by the driver, so
+    there may be `cells` of them and more are an error. The draw of a source's texts of like
     size is cut by hash at one of `steps` thresholds, and the next smaller size makes up for the rest.
     """
 
     total: float | None = None
-    languages: int = 12
-    topics: int = 40
+    cells: int = 1_000_000
     rounds: int = 200
     tolerance: float = 1e-9
     steps: int = 2048
@@ -83,11 +82,10 @@ def mixed(docs: DataFrame, targets: DataFrame, settings: Mix = Mix()) -> tuple[D
     plain = docs.select("id", source_key("source").alias("source"), F.coalesce(F.substring(F.lower(F.trim("lang")), 1, 2), F.lit("-")).alias("lang"), F.coalesce("topic", F.lit("-")).alias("topic"), "tokens")
     plain = cut(plain)
     cells = plain.filter("source IS NOT NULL AND tokens > 0").groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
-    for col, most in (("lang", s.languages), ("topic", s.topics)):
-        top = [r[0] for r in plain.groupBy(col).agg(F.sum("tokens").alias("n")).orderBy(F.desc("n"), col).limit(most).collect()]
-        cells = cells.withColumn(col, F.when(F.col(col).isin(top), F.col(col)).otherwise("*")) if top else cells
-        plain = plain.withColumn(col, F.when(F.col(col).isin(top), F.col(col)).otherwise("*")) if top else plain
-    known = cells.filter(F.col("source").isin(want.source.tolist()) if len(want) else F.lit(False)).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")).toPandas().merge(want, on="source")
+    known = cells.filter(F.col("source").isin(want.source.tolist()) if len(want) else F.lit(False)).limit(s.cells + 1).toPandas()
+    if len(known) > s.cells:
+        raise ValueError(f"more than {s.cells} cells of source, language and topic")
+    known = known.merge(want, on="source")
     known = known[(known.share > 0) & (known.most > 0)].sort_values(["source", "lang", "topic"], ignore_index=True)
     spark = docs.sparkSession
     rates = pd.DataFrame({"source": pd.Series(dtype=str), "lang": pd.Series(dtype=str), "topic": pd.Series(dtype=str), "rate": pd.Series(dtype=float), "most": pd.Series(dtype=int)})

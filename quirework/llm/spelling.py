@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut, table
-from .blocks import bucket_pairs
+from .blocks import bucket_pairs, pairs_within
 from .nameparts import PROPER, parsed
 from .stars import star_clusters
 
@@ -185,8 +185,7 @@ def p1_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = cut(link_spellings(_strings(spark, sf_dir), "canonical", "weight", forename_forms(spark, sf_dir)))
-    a, b = linked.alias("a"), linked.alias("b")
-    return a.join(b, (F.col("a.entity") == F.col("b.entity")) & (F.col("a.name") < F.col("b.name"))).select(F.col("a.name").alias("canonical_a"), F.col("b.name").alias("canonical_b"))
+    return pairs_within(linked.select(F.col("entity").alias("k"), F.col("name").alias("i"))).select(F.col("a").alias("canonical_a"), F.col("b").alias("canonical_b"))
 
 
 QUERIES = {"p1_found": p1_found, "p1_entities": p1_entities}

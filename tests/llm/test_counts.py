@@ -40,7 +40,7 @@ def test_pairs_against_brute_force(spark):
     for b, i, _ in rows:
         if b and i:
             sets[i].add(b)
-    for overlap, least in ((0.5, 5), (0.2, 3), (0.05, 1)):
+    for overlap, least in ((0.5, 5), (0.2, 3), (0.05, 1), (0, 2)):
         want = {(x, y, len(sets[x] & sets[y])) for x, y in combinations(sorted(sets), 2) if len(sets[x] & sets[y]) >= max(least, overlap * len(sets[x] | sets[y]))}
         if least == 1:
             want = {w for w in want}
@@ -48,4 +48,15 @@ def test_pairs_against_brute_force(spark):
         assert got == want
     assert cooccurrence.pair_counts(df.limit(0), "basket", "item").count() == 0
     with pytest.raises(ValueError):
-        cooccurrence.pair_counts(df, "basket", "item", 5, 0)
+        cooccurrence.pair_counts(df, "basket", "item", 0, 0)
+
+
+def test_all_pairs_with_lift_against_sql(spark):
+    """The plain count of all pairs, in blocks of a few items, with lift and pointwise mutual information."""
+    con = connect("sf0.001")
+    con.execute("CREATE TABLE h AS SELECT DISTINCT chunk_id, canonical FROM note_names WHERE chunk_id IS NOT NULL AND canonical IS NOT NULL")
+    sql = """WITH f AS (SELECT canonical, count(*) AS n FROM h GROUP BY 1), p AS (SELECT a.canonical AS item_a, b.canonical AS item_b, count(*) AS n_both FROM h a JOIN h b ON a.chunk_id = b.chunk_id AND a.canonical < b.canonical GROUP BY ALL HAVING count(*) >= 2)
+        , q AS (SELECT item_a, item_b, n_both, x.n AS n_a, y.n AS n_b, (SELECT count(DISTINCT chunk_id) FROM h) AS n_baskets FROM p JOIN f x ON x.canonical = item_a JOIN f y ON y.canonical = item_b)
+        SELECT *, n_both * n_baskets / (n_a::DOUBLE * n_b) AS lift, log2(n_both * n_baskets / (n_a::DOUBLE * n_b)) AS pmi FROM q"""
+    got = cooccurrence.pair_counts(spark.read.parquet(f"{ROOT}/sf0.001/note_names.parquet"), "chunk_id", "canonical", 2, 0).toPandas()
+    assert len(got) and bag(got) == bag(con.execute(sql).df())
