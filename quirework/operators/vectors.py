@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, v: t + v)
@@ -95,16 +97,20 @@ def assign(df: DataFrame, centers: DataFrame, id_col: str, vec: str, label: str,
     return unit(df.select(id_col, vec), vec).mapInPandas(nearest, kinds)
 
 
-def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels of average-linkage clustering by cosine distance, cut at the threshold, for one block of vectors."""
+def average_linkage(vectors: np.ndarray, threshold: float, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Labels of average-linkage clustering by cosine distance, cut at the threshold, for one block.
+
+    vectors: rows of any length; with sizes they are the means of so many unit vectors and are taken
+    as they are, since the mean cosine of two clusters is the product of their means.
+    """
     n = len(vectors)
-    labels = list(range(n))
     if n < 2:
         return np.zeros(n, np.int64)
-    v = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    v = vectors if sizes is not None else vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
     d = 1 - v @ v.T
     np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n), np.ones(n, bool)
+    size = np.ones(n) if sizes is None else np.asarray(sizes, float).copy()
+    labels = np.arange(n)
     while True:
         i, j = divmod(int(d.argmin()), n)
         if not d[i, j] <= threshold:
@@ -115,6 +121,51 @@ def average_linkage(vectors: np.ndarray, threshold: float) -> np.ndarray:
         d[i], d[:, i] = row, row
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
-        alive[j] = False
-        labels = [i if x == j else x for x in labels]
+        labels[labels == j] = i
     return np.unique(labels, return_inverse=True)[1]
+
+
+def linkage_bags(df: DataFrame, id_col: str, vec: str, label: str, threshold: float, block: int = 400) -> DataFrame:
+    """(id, label, bag): average-linkage bags of each label's vectors, cut at the threshold; a bag is named by its least id.
+
+    A label of at most `block` vectors is clustered at once. A larger one is clustered in blocks by
+    hash, and the bags of all blocks are merged in turn by average linkage of their means, in new
+    blocks each time, until they fit one block or two rounds merge nothing. Null and zero vectors
+    are in no bag; repeated ids count once. An empty table gives no rows.
+    """
+    start = unit(df.select(F.col(id_col).alias("id"), F.col(label).alias("label"), F.col(vec).alias("v")), "v").dropDuplicates(["id"])
+    kind, name = start.schema["id"].dataType.simpleString(), start.schema["label"].dataType.simpleString()
+    bags = cut(start.select("label", F.col("id").alias("bag"), "v", F.lit(1.0).alias("size")))
+    members, turn, idle = None, 0, 0
+
+    def merged(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bag")
+        v, size = np.stack(pdf.v.to_list()).astype(float), pdf["size"].to_numpy(float)
+        found = average_linkage(v, threshold, size)
+        to = pd.Series(pdf.bag.to_numpy()).groupby(found).transform("min").to_numpy()
+        mean = np.zeros((found.max() + 1, v.shape[1]))
+        np.add.at(mean, found, v * size[:, None])
+        total = np.bincount(found, size)
+        return pd.DataFrame({"label": pdf.label.to_numpy(), "was": pdf.bag.to_numpy(), "bag": to, "v": list((mean / total[:, None])[found]), "size": total[found]})
+
+    while True:
+        counts = bags.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+        most = counts.agg(F.max("_n")).first()[0] or 0
+        counts = counts.withColumnRenamed("label", "_l")
+        cuts = bags.join(counts, F.col("label").eqNullSafe(F.col("_l"))).select("label", "bag", "v", "size", F.pmod(F.xxhash64("bag", F.lit(turn)), F.ceil(F.col("_n") / block)).alias("_b"))
+        step = cut(cuts.groupBy("label", "_b").applyInPandas(merged, f"label {name}, was {kind}, bag {kind}, v array<double>, size double"))
+        to = step.select("was", F.col("bag").alias("now"))
+        members = to.toDF("id", "bag") if members is None else members.join(to, F.col("bag") == F.col("was")).select("id", F.col("now").alias("bag"))
+        members = cut(members)
+        fresh = cut(step.filter("was = bag").select("label", "bag", "v", "size"))
+        idle = idle + 1 if fresh.count() == bags.count() else 0
+        bags, turn = fresh, turn + 1
+        if most <= block or idle == 2:
+            break
+    return members.join(bags.select("bag", "label"), "bag").select("id", "label", "bag")
+
+
+def moved_means(known: DataFrame, fresh: DataFrame, label: str, vec: str) -> DataFrame:
+    """(label, size, centroid): the running means of the labels after the fresh rows have come. Rows without a label move none."""
+    both = known.select(label, vec).unionByName(fresh.filter(F.col(label).isNotNull()).select(label, vec))
+    return centroids(both, label, vec)

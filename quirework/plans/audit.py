@@ -111,7 +111,8 @@ def agg65_repetition(spark: SparkSession, d: str) -> DataFrame:
 
 def agg69_run_report(spark: SparkSession, d: str) -> DataFrame:
     """Per pass: runs, the median, runs slower than twice it, failures."""
-    r = _log(spark, d).withColumn("median", F.percentile("duration_sec", 0.5).over(W.partitionBy("pass_name")))
+    r = _log(spark, d)
+    r = r.join(r.groupBy("pass_name").agg(F.percentile("duration_sec", 0.5).alias("median")), "pass_name")
     return r.groupBy("pass_name").agg(F.count(F.lit(1)).alias("runs"), F.round(F.first("median"), 6).alias("median"), F.count_if(F.col("duration_sec") > 2 * F.col("median")).alias("slow"), F.count_if(F.col("status") != "done").alias("not_done"))
 
 
@@ -122,9 +123,10 @@ def agg70_stage_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def agg76_corpus_pin(spark: SparkSession, d: str) -> DataFrame:
-    """A hash of every letter's source ids, in order; no list of all ids is made."""
-    s = table(spark, d, "sources").select("source_id").distinct()
-    return s.groupBy(F.substring("source_id", 1, 2).alias("part")).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("source_id")), "\n"), 256), 1, 16).alias("pin"), F.count(F.lit(1)).alias("sources"))
+    """One hash for the whole set of source ids: of the pins of its parts by hash, in order; no list of all ids is made."""
+    s = table(spark, d, "sources").select("source_id").distinct().withColumn("part", F.substring(F.md5("source_id"), 1, 3))
+    parts = s.groupBy("part").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("source_id")), "\n"), 256).alias("pin"), F.count(F.lit(1)).alias("n"))
+    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "pin"))), lambda p: p["pin"]), "\n"), 256), 1, 16).alias("pin"), F.sum("n").alias("sources"))
 
 
 def win16_budget_prefix(spark: SparkSession, d: str) -> DataFrame:
@@ -247,7 +249,7 @@ SQL = {
     "agg65_repetition": "WITH w AS (SELECT section, list_filter(string_split(regexp_replace(lower(claim), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '') AS w FROM notes WHERE claim IS NOT NULL AND section IS NOT NULL), g AS (SELECT DISTINCT section, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM w WHERE len(w) >= 5), k AS (SELECT g, count(*) AS k FROM g GROUP BY g) SELECT count(*) AS shingles, count(*) FILTER (k >= 2) AS shared FROM k",
     "agg69_run_report": f"SELECT r.pass_name, count(*) AS runs, round(any_value(m.median), 6) AS median, count(*) FILTER (duration_sec > 2 * m.median) AS slow, count(*) FILTER (status <> 'done') AS not_done FROM {_L} r JOIN (SELECT pass_name, quantile_cont(duration_sec, 0.5) AS median FROM {_L} GROUP BY 1) m USING (pass_name) GROUP BY r.pass_name",
     "agg70_stage_counts": f"SELECT pass_name, count(*) FILTER (status = 'done') AS done_runs, count(*) FILTER (status = 'failed') AS failed_runs, count(*) FILTER (status = 'skipped') AS skipped_runs, count(*) AS runs FROM {_L} GROUP BY pass_name",
-    "agg76_corpus_pin": "SELECT left(source_id, 2) AS part, left(sha256(string_agg(source_id, chr(10) ORDER BY source_id)), 16) AS pin, count(*) AS sources FROM (SELECT DISTINCT source_id FROM sources) GROUP BY 1",
+    "agg76_corpus_pin": "SELECT left(sha256(string_agg(pin, chr(10) ORDER BY part)), 16) AS pin, sum(n)::BIGINT AS sources FROM (SELECT left(md5(source_id), 3) AS part, sha256(string_agg(source_id, chr(10) ORDER BY source_id)) AS pin, count(*) AS n FROM (SELECT DISTINCT source_id FROM sources) GROUP BY 1)",
     "win16_budget_prefix": "SELECT source_id, chunk_id, used::BIGINT AS used FROM (SELECT source_id, chunk_id, sum(length(claim)) OVER (PARTITION BY source_id ORDER BY chunk_id ROWS UNBOUNDED PRECEDING) AS used FROM notes WHERE claim IS NOT NULL) WHERE used <= 2000",
     "win17_greedy_batches": """WITH RECURSIVE n AS (SELECT source_id, chunk_id, length(claim) AS s, row_number() OVER (PARTITION BY source_id ORDER BY chunk_id) AS r FROM notes WHERE claim IS NOT NULL),
         b AS (SELECT source_id, chunk_id, r, 0 AS batch, s AS used FROM n WHERE r = 1 UNION ALL SELECT n.source_id, n.chunk_id, n.r, b.batch + CASE WHEN b.used + n.s > 1000 THEN 1 ELSE 0 END, CASE WHEN b.used + n.s > 1000 THEN n.s ELSE b.used + n.s END FROM b JOIN n ON n.source_id = b.source_id AND n.r = b.r + 1) SELECT source_id, chunk_id, batch FROM b""",

@@ -133,11 +133,15 @@ def joi30_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def joi32_same_members(spark: SparkSession, d: str) -> DataFrame:
-    """Notes with exactly the same names as another, by a key of the sorted set; in notes of two to ten names."""
-    nn = table(spark, d, "note_names").filter("canonical IS NOT NULL")
-    sizes = nn.groupBy("chunk_id").agg(F.count_distinct("canonical").alias("n")).filter("n BETWEEN 2 AND 10")
-    g = nn.join(sizes.select("chunk_id"), "chunk_id", "left_semi").groupBy("chunk_id").agg(F.md5(F.array_join(F.array_sort(F.collect_set("canonical")), "|")).alias("key"))
-    return g.withColumn("k", F.count(F.lit(1)).over(W.partitionBy("key"))).filter("k > 1").select("chunk_id", "key")
+    """Notes with exactly the same names as another, however many, and the least such note.
+
+    The key of a set is its size and two sums of 64-bit hashes of its members, which need no list and no order.
+    """
+    nn = table(spark, d, "note_names").select("chunk_id", "canonical").dropna().distinct()
+    half = lambda seed: F.sum(F.xxhash64("canonical", F.lit(seed)).cast("decimal(20,0)"))
+    g = nn.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("names"), half(1).alias("h"), half(2).alias("k"))
+    same = g.groupBy("names", "h", "k").agg(F.min("chunk_id").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return g.join(same, ["names", "h", "k"]).select("chunk_id", "first", "names")
 
 
 def joi33_reusable_claims(spark: SparkSession, d: str) -> DataFrame:
@@ -325,7 +329,7 @@ SQL = {
     "joi29_opposed_notes": "SELECT canonical, against, foes, about FROM (SELECT resolved_canonical AS canonical, count(DISTINCT chunk_id) AS against, count(DISTINCT source_id) AS foes FROM note_arguing_against WHERE resolved_canonical IS NOT NULL GROUP BY 1) JOIN (SELECT canonical, count(DISTINCT chunk_id) AS about FROM note_names GROUP BY 1) USING (canonical)",
     "joi30_candidates": f"""WITH m AS (SELECT chunk_id FROM note_names WHERE canonical = '{LANDED[0]}'), u AS (SELECT chunk_id, 1 AS place FROM note_arguing_against WHERE resolved_canonical = '{LANDED[0]}' UNION ALL SELECT chunk_id, 2 FROM note_citations WHERE lower(stance) = 'foil' AND chunk_id IN (SELECT * FROM m)
         UNION ALL SELECT chunk_id, 3 FROM note_arguing_against WHERE chunk_id IN (SELECT * FROM m) UNION ALL SELECT chunk_id, 4 FROM notes WHERE position IS NOT NULL AND chunk_id IN (SELECT * FROM m)) SELECT chunk_id, min(place) AS place FROM u GROUP BY chunk_id ORDER BY 2, 1 LIMIT 20""",
-    "joi32_same_members": "WITH g AS (SELECT chunk_id, md5(string_agg(DISTINCT canonical, '|' ORDER BY canonical)) AS key FROM note_names WHERE canonical IS NOT NULL GROUP BY chunk_id HAVING count(DISTINCT canonical) BETWEEN 2 AND 10) SELECT chunk_id, key FROM g WHERE key IN (SELECT key FROM g GROUP BY key HAVING count(*) > 1)",
+    "joi32_same_members": "WITH g AS (SELECT chunk_id, md5(string_agg(DISTINCT canonical, '|' ORDER BY canonical)) AS key, count(DISTINCT canonical) AS names FROM note_names WHERE canonical IS NOT NULL AND chunk_id IS NOT NULL GROUP BY chunk_id) SELECT chunk_id, first, names FROM g JOIN (SELECT key, min(chunk_id) AS first FROM g GROUP BY key HAVING count(*) > 1) USING (key)",
     "joi33_reusable_claims": f"WITH k AS (SELECT chunk_id, year, md5(claim) AS key FROM notes JOIN sources USING (source_id) WHERE claim IS NOT NULL AND lower(trim(claim)) <> {_A} AND year IS NOT NULL) SELECT chunk_id, key FROM k JOIN (SELECT key, min(year) AS first FROM k GROUP BY key) USING (key) WHERE year > first",
     "joi39_bibliography": "SELECT cited, notes, row_number() OVER (PARTITION BY left(cited, 1) ORDER BY cited) AS n FROM (SELECT cited, count(DISTINCT chunk_id) AS notes FROM note_citations WHERE lower(stance) = 'support' AND cited IS NOT NULL GROUP BY 1)",
     "agg27_stance_mix": "SELECT source_id, count(*) FILTER (lower(stance) = 'support') AS support, count(*) FILTER (lower(stance) = 'foil') AS foil, count(*) FILTER (lower(stance) = 'authority') AS authority FROM note_citations WHERE source_id IS NOT NULL GROUP BY source_id",

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import vectors as V
@@ -77,17 +76,36 @@ def vec13_incremental_bags(spark: SparkSession, d: str) -> DataFrame:
     return V.assign(e.filter("vec_id % 2 = 1"), c, "vec_id", "embedding", "label", 0.55).select("vec_id", "label", F.round("distance", 5).alias("distance"))
 
 
-def vec09_average_linkage(spark: SparkSession, d: str) -> DataFrame:
-    """Average-linkage clusters at 0.55 inside each label's block of about 400 vectors, by hash."""
-    e = table(spark, d, "embeddings")
-    sizes = e.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / 400).alias("blocks"))
-    cut_up = e.join(sizes, "label").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")))
+def _incremental(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The known unit vectors, and the new ones with the label of the nearest mean within 0.55."""
+    e = V.unit(table(spark, d, "embeddings").select("vec_id", "label", "embedding"), "embedding")
+    known, new = e.filter("vec_id % 2 = 0"), e.filter("vec_id % 2 = 1")
+    c = V.centroids(known, "label", "embedding").select("label", "centroid")
+    return known, new.drop("label").join(V.assign(new, c, "vec_id", "embedding", "label", 0.55), "vec_id")
+
+
+def vec13_running_means(spark: SparkSession, d: str) -> DataFrame:
+    """The means of the labels after the new vectors have joined them: size and length."""
+    known, new = _incremental(spark, d)
+    return V.moved_means(known, new, "label", "embedding").select("label", "size", F.round(V.norm("centroid"), 5).alias("length"))
 
-    def grouped(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id")
-        return pdf[["vec_id", "label", "block"]].assign(bag=V.average_linkage(np.stack(pdf.embedding.to_list()).astype(float), 0.55))
 
-    return cut_up.groupBy("label", "block").applyInPandas(grouped, "vec_id bigint, label int, block bigint, bag bigint")
+def vec13_residue_bags(spark: SparkSession, d: str) -> DataFrame:
+    """New vectors that no mean is near, clustered by average linkage under labels above the greatest, by least id."""
+    known, new = _incremental(spark, d)
+    bags = V.linkage_bags(new.filter("label IS NULL").withColumn("one", F.lit(0)), "vec_id", "embedding", "one", 0.55)
+    firsts = bags.select("bag").distinct()
+    # bags are numbered by range: what stands before is counted, no task sorts all
+    part = firsts.repartitionByRange("bag").withColumn("p", F.spark_partition_id())
+    before = part.groupBy("p").agg(F.count(F.lit(1)).alias("k")).withColumn("before", F.coalesce(F.sum("k").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    number = part.join(F.broadcast(before), "p").withColumn("n", F.row_number().over(W.partitionBy("p").orderBy("bag")) + F.col("before")).select("bag", "n")
+    top = known.agg(F.coalesce(F.max("label"), F.lit(-1)).alias("top"))
+    return bags.join(number, "bag").select(F.col("id").alias("vec_id"), (F.col("n") + top.scalar()).cast("int").alias("label"))
+
+
+def vec09_average_linkage(spark: SparkSession, d: str) -> DataFrame:
+    """Average-linkage bags at 0.55 of every label's vectors."""
+    return V.linkage_bags(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.55).select(F.col("id").alias("vec_id"), "label", "bag")
 
 
 def vec06_floors(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +120,10 @@ _C = ", p AS (SELECT vec_id, label, unnest(v) / {0} AS x, generate_subscripts(v,
 _NEAR = "SELECT q.vec_id AS query, b.vec_id AS neighbour, list_dot_product(q.v, b.v) / (q.l * b.l) AS cosine, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.v, b.v) / (q.l * b.l), 9) DESC, b.vec_id) AS place, q.label AS a, b.label AS b FROM u q JOIN u b ON q.vec_id <> b.vec_id WHERE q.vec_id % 50 = 0"
 _SPREAD = f"{_U}{_C.format('1.0', '')}, s AS (SELECT u.label, list_dot_product(v, c) / (l * sqrt(list_dot_product(c, c))) AS k FROM u JOIN c USING (label)) "
 
+_M = _C.format("l", "WHERE vec_id % 2 = 0")
+
 SQL = {
+    "vec13_running_means": f"{_U}{_M}, d AS (SELECT vec_id, c.label, 1 - list_dot_product(v, c) / l AS d FROM u, c WHERE vec_id % 2 = 1), a AS (SELECT vec_id, arg_min(label, (d, label)) AS label FROM d GROUP BY vec_id HAVING min(d) <= 0.55), o AS (SELECT vec_id, label FROM u WHERE vec_id % 2 = 0 UNION ALL SELECT * FROM a), x AS (SELECT o.label, unnest(u.v) / u.l AS x, generate_subscripts(u.v, 1) AS i FROM o JOIN u USING (vec_id)), m AS (SELECT label, i, avg(x) AS x, count(*) AS n FROM x GROUP BY ALL) SELECT label, max(n) AS size, round(sqrt(sum(x * x)), 5) AS length FROM m GROUP BY label",
     "src33_unit_vectors": f"{_U} SELECT vec_id, round(l, 5) AS length, round(v[1] / l, 5) AS first FROM u",
     "vec01_cosine_scan": f"{_U}, q AS (SELECT * FROM u ORDER BY vec_id LIMIT 1) SELECT u.vec_id, round(list_dot_product(u.v, q.v) / (u.l * q.l), 5) AS cosine FROM u, q WHERE round(list_dot_product(u.v, q.v) / (u.l * q.l), 5) >= 0.2",
     "top01_nearest": f"{_U} SELECT query, neighbour, place, round(cosine, 4) AS cosine FROM ({_NEAR}) WHERE place <= 4",
