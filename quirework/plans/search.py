@@ -21,8 +21,10 @@ def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
 
 
 def _asks(spark: SparkSession, d: str) -> DataFrame:
-    """(target, fold): every distinct phrase that some note argues against, as an ask."""
-    return table(spark, d, "note_arguing_against").filter("target IS NOT NULL").select("target").distinct().withColumn("fold", folded(F.col("target"))).filter("fold <> ''")
+    """(target, fold): every distinct phrase that some note argues against, cites or cites about, as an ask."""
+    a, c = _t(spark, d, "note_arguing_against", "note_citations")
+    said = a.select("target").unionByName(c.select(F.col("cited").alias("target"))).unionByName(c.select(F.col("about").alias("target")))
+    return said.filter("target IS NOT NULL").distinct().withColumn("fold", folded(F.col("target"))).filter("fold <> ''")
 
 
 def _ranked_doors(spark: SparkSession, d: str) -> DataFrame:
@@ -148,7 +150,7 @@ def joi37_provenance(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {k: v for k, v in list(globals().items()) if k[:3] in ("win", "sca", "joi") and getattr(v, "__module__", "") == __name__}
 
 _STOP = ", ".join(f"'{w}'" for w in STOPS)
-_ASKS = f"asks AS (SELECT target, f AS fold FROM (SELECT DISTINCT target, {_FOLD.format('target')} AS f FROM note_arguing_against WHERE target IS NOT NULL) WHERE f <> '')"
+_ASKS = f"asks AS (SELECT target, f AS fold FROM (SELECT target, {_FOLD.format('target')} AS f FROM (SELECT target FROM note_arguing_against UNION SELECT cited FROM note_citations UNION SELECT about FROM note_citations) WHERE target IS NOT NULL) WHERE f <> '')"
 _RANKED = f"doors AS (SELECT canonical, {_FOLD.format('canonical')} AS f, coalesce(kind = 'work', false) AS work, -source_count AS s, -member_count AS m FROM ({_DOORS}))"
 _LIT = "lit AS (SELECT target, canonical, CASE WHEN target = canonical THEN 1 WHEN fold = f THEN 2 ELSE 3 END AS tier, work, s, m FROM asks JOIN doors ON contains(' ' || f || ' ', ' ' || fold || ' '))"
 
