@@ -55,18 +55,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or where that is unset (tests) one of this machine."""
+    """The folder that all executors share: spark.checkpoint.dir, or where that is unset and the master local (tests) one of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quirework-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_OWN: dict[str, str] = {}
+
+
+def own_folder(spark: SparkSession) -> str:
+    """This application's folder in the shared one; it is deleted when the application ends, for results read from it until then."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _OWN:
+        folder = f"{shared_folder(spark).rstrip('/')}/quirework-{sc.applicationId}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _OWN[sc.applicationId] = folder
+    return _OWN[sc.applicationId]
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df as a table in the shared folder and read it, so that lineage ends and a lost executor costs a re-read."""
     ship(df.sparkSession)
-    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    path = f"{own_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
