@@ -6,7 +6,7 @@ import pytest
 
 from oracle import ROOT, bag, connect
 
-MODULES = ("keys", "store", "scalars", "vectors", "audit", "passages", "coverage", "search")
+MODULES = ("keys", "store", "scalars", "vectors", "audit", "passages", "coverage", "search", "jobs")
 CASES = {k: (f, m.SQL.get(k)) for name in MODULES for m in [importlib.import_module(f"quirework.plans.{name}")] for k, f in m.QUERIES.items()}
 
 
