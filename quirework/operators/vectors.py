@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut
@@ -25,46 +26,78 @@ def unit(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn("_norm", norm(col)).filter("_norm > 0").withColumn(col, F.transform(col, lambda v: v.cast("double") / F.col("_norm"))).drop("_norm")
 
 
-def neighbours(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int, block: int = 2048) -> DataFrame:
-    """(query, neighbour, cosine, place): the exact k nearest of every query in base, itself left out; ties by id.
+def _query_blocks(queries: DataFrame, base: DataFrame, id_col: str, vec: str, label: str | None, block: int, meet) -> DataFrame:
+    """(query, neighbour, cosine) of a stated query set against all rows, by matrix products.
 
-    A stated query set against all rows: the queries are broadcast in blocks (their number is
-    counted), each task keeps the k best of its rows by matrix products, and only these are merged.
+    The queries come to the driver in blocks of `block` by range of id, so it never holds more, and each block
+    is broadcast; meet(batches, ids, matrix, labels) is run over the rows of base. With a label, rows of the query's own are no neighbours.
     """
     spark = base.sparkSession
-    q = unit(queries.select(id_col, vec), vec).orderBy(id_col).toPandas()
+    cols = [id_col, vec] + ([label] if label else [])
+    q = cut(unit(queries.select(*cols), vec))
+    rows = unit(base.select(*cols), vec)
     kind = base.schema[id_col].dataType.simpleString()
     schema = f"query {kind}, neighbour {kind}, cosine double"
-    if not len(q):
-        return spark.createDataFrame([], schema + ", place int")
-    ids, m = q[id_col].to_numpy(), np.stack(q[vec].to_list())
-    out = None
-    rows = unit(base.select(id_col, vec), vec)
-    for at in range(0, len(q), block):
-        held = spark.sparkContext.broadcast((ids[at : at + block], m[at : at + block]))
-
-        def best(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            qi, qm = held.value
-            kept_s, kept_i = np.full((len(qi), 0), 0.0), np.empty((len(qi), 0), dtype=object)
-            for pdf in batches:
-                bi, bm = pdf[id_col].to_numpy(), np.stack(pdf[vec].to_list())
-                sim = qm @ bm.T
-                sim[qi[:, None] == bi[None, :]] = -np.inf
-                s = np.concatenate([kept_s, sim], 1)
-                i = np.concatenate([kept_i, np.broadcast_to(bi.astype(object), sim.shape)], 1)
-                order = np.argsort(-s, axis=1, kind="stable")[:, : k + 1] if s.shape[1] > k + 1 else np.argsort(-s, axis=1, kind="stable")
-                kept_s, kept_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            ok = np.isfinite(kept_s)
-            yield pd.DataFrame({"query": np.repeat(qi, kept_s.shape[1])[ok.ravel()], "neighbour": kept_i.ravel()[ok.ravel()], "cosine": kept_s.ravel()[ok.ravel()]})
-
-        part = rows.mapInPandas(best, schema)
-        out = part if out is None else out.unionByName(part)
-    from pyspark.sql import Window as W
+    out, last = None, None
+    while True:
+        part = (q if last is None else q.filter(F.col(id_col) > F.lit(last))).orderBy(id_col).limit(block).toPandas()
+        if not len(part):
+            return spark.createDataFrame([], schema) if out is None else out
+        last = part[id_col].iloc[-1].item() if hasattr(part[id_col].iloc[-1], "item") else part[id_col].iloc[-1]
+        held = spark.sparkContext.broadcast((part[id_col].to_numpy(), np.stack(part[vec].to_list()), part[label].to_numpy() if label else None))
+
+        def compared(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            qi, qm, ql = held.value
+
+            def each() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                for pdf in batches:
+                    if len(pdf):
+                        bi = pdf[id_col].to_numpy()
+                        sim = qm @ np.stack(pdf[vec].to_list()).T
+                        sim[qi[:, None] == bi[None, :]] = -np.inf
+                        if label:
+                            sim[ql[:, None] == pdf[label].to_numpy()[None, :]] = -np.inf
+                        yield bi, sim
 
+            yield from meet(qi, each())
+
+        one = rows.mapInPandas(compared, schema)
+        out = one if out is None else out.unionByName(one)
+
+
+def neighbours(queries: DataFrame, base: DataFrame, id_col: str, vec: str, k: int, block: int = 2048, label: str | None = None) -> DataFrame:
+    """(query, neighbour, cosine, place): the exact k nearest of every query in base, itself left out; ties by id.
+
+    Each task keeps the k best of its rows, and only these are merged. With a label, the nearest of another label.
+    """
+
+    def best(qi: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        kept_s, kept_i = np.full((len(qi), 0), 0.0), np.empty((len(qi), 0), dtype=object)
+        for bi, sim in parts:
+            s = np.concatenate([kept_s, sim], 1)
+            i = np.concatenate([kept_i, np.broadcast_to(bi.astype(object), sim.shape)], 1)
+            # of equal ones the smaller id; cosines are ranked to nine places, as in the merge
+            order = np.lexsort((i, -np.round(s, 9)), axis=1)[:, :k]
+            kept_s, kept_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
+        ok = np.isfinite(kept_s)
+        yield pd.DataFrame({"query": np.repeat(qi, kept_s.shape[1])[ok.ravel()], "neighbour": kept_i.ravel()[ok.ravel()], "cosine": kept_s.ravel()[ok.ravel()]})
+
+    out = _query_blocks(queries, base, id_col, vec, label, block, best)
     w = W.partitionBy("query").orderBy(F.desc(F.round("cosine", 9)), "neighbour")
     return out.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
+def within(queries: DataFrame, base: DataFrame, id_col: str, vec: str, least: float, block: int = 2048) -> DataFrame:
+    """(query, neighbour, cosine): every row of base whose cosine to a query is `least` or more, itself left out; exact."""
+
+    def near(qi: np.ndarray, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pd.DataFrame]:
+        for bi, sim in parts:
+            x, y = np.nonzero(np.round(sim, 9) >= least)
+            yield pd.DataFrame({"query": qi[x], "neighbour": bi[y], "cosine": sim[x, y]})
+
+    return _query_blocks(queries, base, id_col, vec, None, block, near)
+
+
 def centroids(df: DataFrame, label: str, vec: str) -> DataFrame:
     """(label, size, centroid): plain means per place."""
     parts = df.select(label, F.posexplode(vec).alias("i", "v")).groupBy(label, "i").agg(F.avg(F.col("v").cast("double")).alias("v"), F.count(F.lit(1)).alias("n"))

@@ -19,10 +19,9 @@ def src33_unit_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vec01_cosine_scan(spark: SparkSession, d: str) -> DataFrame:
-    """All vectors within cosine 0.2 of the one of least id, exact."""
-    e = V.unit(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding")
-    q = e.agg(F.min_by("embedding", "vec_id")).first()[0] or []
-    return e.withColumn("q", F.array(*[F.lit(float(x)) for x in q])).select("vec_id", F.round(V.dot("embedding", "q"), 5).alias("cosine")).filter("cosine >= 0.2")
+    """All vectors within cosine 0.2 of each whose id is divisible by 50, exact."""
+    e = table(spark, d, "embeddings")
+    return V.within(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 0.2).select("query", "neighbour", F.round("cosine", 4).alias("cosine"))
 
 
 def top01_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -34,10 +33,7 @@ def top01_nearest(spark: SparkSession, d: str) -> DataFrame:
 def top05_borderline(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vector of another label, for every id divisible by 50."""
     e = table(spark, d, "embeddings")
-    near = V.neighbours(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 20)
-    lab = e.select("vec_id", "label")
-    both = near.join(lab.select(F.col("vec_id").alias("query"), F.col("label").alias("a")), "query").join(lab.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("b")), "neighbour").filter("a <> b")
-    return both.groupBy("query").agg(F.min_by("neighbour", "place").alias("neighbour"))
+    return V.neighbours(e.filter("vec_id % 50 = 0"), e, "vec_id", "embedding", 1, label="label").select("query", "neighbour")
 
 
 def agg63_centroids(spark: SparkSession, d: str) -> DataFrame:
@@ -125,9 +121,9 @@ _M = _C.format("l", "WHERE vec_id % 2 = 0")
 SQL = {
     "vec13_running_means": f"{_U}{_M}, d AS (SELECT vec_id, c.label, 1 - list_dot_product(v, c) / l AS d FROM u, c WHERE vec_id % 2 = 1), a AS (SELECT vec_id, arg_min(label, (d, label)) AS label FROM d GROUP BY vec_id HAVING min(d) <= 0.55), o AS (SELECT vec_id, label FROM u WHERE vec_id % 2 = 0 UNION ALL SELECT * FROM a), x AS (SELECT o.label, unnest(u.v) / u.l AS x, generate_subscripts(u.v, 1) AS i FROM o JOIN u USING (vec_id)), m AS (SELECT label, i, avg(x) AS x, count(*) AS n FROM x GROUP BY ALL) SELECT label, max(n) AS size, round(sqrt(sum(x * x)), 5) AS length FROM m GROUP BY label",
     "src33_unit_vectors": f"{_U} SELECT vec_id, round(l, 5) AS length, round(v[1] / l, 5) AS first FROM u",
-    "vec01_cosine_scan": f"{_U}, q AS (SELECT * FROM u ORDER BY vec_id LIMIT 1) SELECT u.vec_id, round(list_dot_product(u.v, q.v) / (u.l * q.l), 5) AS cosine FROM u, q WHERE round(list_dot_product(u.v, q.v) / (u.l * q.l), 5) >= 0.2",
+    "vec01_cosine_scan": f"{_U} SELECT query, neighbour, round(cosine, 4) AS cosine FROM ({_NEAR}) WHERE round(cosine, 9) >= 0.2",
     "top01_nearest": f"{_U} SELECT query, neighbour, place, round(cosine, 4) AS cosine FROM ({_NEAR}) WHERE place <= 4",
-    "top05_borderline": f"{_U} SELECT query, arg_min(neighbour, place) AS neighbour FROM ({_NEAR}) WHERE place <= 20 AND a <> b GROUP BY query",
+    "top05_borderline": f"{_U} SELECT query, arg_min(neighbour, place) AS neighbour FROM ({_NEAR}) WHERE a <> b GROUP BY query",
     "agg63_centroids": f"{_U}{_C.format('1.0', '')} SELECT label, size, round(c[1], 5) AS first, round(sqrt(list_dot_product(c, c)), 5) AS length FROM c",
     "agg60_similarity_spread": f"{_SPREAD} SELECT label, round(min(k), 5) AS least, round(max(k), 5) AS greatest, round(avg(k), 5) AS mean FROM s GROUP BY label",
     "vec06_floors": f"{_SPREAD} SELECT label, round(min(k), 5) AS floor FROM s GROUP BY label",
