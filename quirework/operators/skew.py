@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,28 @@ def hot_keys(df: DataFrame, keys: Sequence[str], share: tuple[int, int] = (1, 50
     rows = df.select(F.explode(pairs).alias("p")).select("p.*").groupBy("key_column", "key_value").agg(F.count(F.lit(1)).alias("rows"))
     total = df.agg(F.count(F.lit(1)).alias("n"))
     return rows.filter(F.col("key_value").isNotNull() & (F.col("rows") * whole >= F.lit(part) * total.scalar())).select("key_column", "key_value")
+
+
+#: Rows of a key that are paired in one step; larger keys are split into blocks of about so many.
+BLOCK = 1024
+
+
+def pairs_within(rows: DataFrame, block: int = BLOCK, where: Column | None = None) -> DataFrame:
+    """(k, a, b), a < b, of all rows (k, i) of one key k, of any types, each (k, i) once; a key above `block` rows is done by many tasks.
+
+    A large key is cut into blocks by the hash of i; each row goes once to every pair of blocks that its own
+    block is in, and the pairs of blocks are joined as separate keys. Null keys and ids are in no pair.
+    Further columns are carried for `where`, a condition on the sides a and b. An empty table gives no rows.
+    """
+    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    held = rows.join(sizes, "k").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
+    mine = F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int")
+    partners = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_mine")).alias("p"), F.greatest(k, F.col("_mine")).alias("q")))
+    spread = held.withColumn("_mine", mine).withColumn("_p", F.explode(partners)).select(*rows.columns, "_mine", "_p.p", "_p.q")
+    a, b = spread.alias("a"), spread.alias("b")
+    cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.i") < F.col("b.i"))
+    # within a block pair (p, q) with p < q only rows of different blocks are paired; p == q pairs the block itself
+    cond &= (F.col("a.p") == F.col("a.q")) | (F.col("a._mine") != F.col("b._mine"))
+    if where is not None:
+        cond &= where
+    return a.join(b, cond).select(F.col("a.k").alias("k"), F.col("a.i").alias("a"), F.col("b.i").alias("b"))

@@ -225,7 +225,7 @@ def top08_best_name(spark: SparkSession, d: str) -> DataFrame:
 
 
 def set03_both_ends(spark: SparkSession, d: str) -> DataFrame:
-    """Names mentioned and opposed and cited: an intersection of three sets."""
+    """Names both mentioned and opposed, but not cited as works: an intersection and a difference."""
     nn, a, c = _t(spark, d, "note_names", "note_arguing_against", "note_citations")
     return nn.select("canonical").intersect(a.select("resolved_canonical")).subtract(c.select("cited")).filter("canonical IS NOT NULL")
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import shapes as S
 from ..functions.chunking import chunked
+from ..operators.skew import pairs_within
 from ..session import table
 
 # Words that carry no content in a query, and word lists of routes.
@@ -186,8 +191,7 @@ def sca34_author_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of sources of one year whose authors share a word of three letters or more."""
     s = table(spark, d, "sources").filter("author IS NOT NULL AND year IS NOT NULL")
     w = s.select("source_id", "year", F.explode(F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower("author"), r"[^\p{L}]+", " "), " "), lambda x: F.length(x) >= 3))).alias("word"))
-    a, b = w.alias("a"), w.alias("b")
-    return a.join(b, (F.col("a.year") == F.col("b.year")) & (F.col("a.word") == F.col("b.word")) & (F.col("a.source_id") < F.col("b.source_id"))).select(F.col("a.source_id").alias("source_a"), F.col("b.source_id").alias("source_b")).distinct()
+    return pairs_within(w.select(F.struct("year", "word").alias("k"), F.col("source_id").alias("i")).distinct()).select(F.col("a").alias("source_a"), F.col("b").alias("source_b")).distinct()
 
 
 def sca37_clean_authors(spark: SparkSession, d: str) -> DataFrame:
@@ -220,9 +224,23 @@ def sca55_shingle_counts(spark: SparkSession, d: str) -> DataFrame:
     """Distinct eight-word shingles per text."""
     t = table(spark, d, "documents").filter("text IS NOT NULL")
     w = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda x: x != "")
-    t = t.select("doc_id", w.alias("w"))
-    n = F.when(F.size("w") >= 8, F.size(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice("w", i, 8), " "))))).otherwise(0)
-    return t.select("doc_id", n.alias("shingles"))
+    # words are hashed once; a shingle is the hash of a window of these
+    t = t.select("doc_id", F.transform(w, lambda x: F.xxhash64(x)).alias("h"))
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for seq in pdf.h:
+                h = np.asarray(seq, np.int64).view(np.uint64)
+                z = np.zeros(max(len(h) - 7, 0), np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(8 if len(z) else 0):
+                        z = (z ^ h[i : i + len(z)]) * np.uint64(0x9E3779B97F4A7C15)
+                        z ^= z >> np.uint64(29)
+                out.append(len(np.unique(z)))
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "shingles": np.array(out, np.int32)})
+
+    return t.mapInPandas(counted, "doc_id bigint, shingles int")
 
 
 def sca56_durations(spark: SparkSession, d: str) -> DataFrame:

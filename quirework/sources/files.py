@@ -53,10 +53,10 @@ def notes_with_front_matter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def records_with(spark: SparkSession, folder: str, key: str, schema: str) -> DataFrame:
-    """JSON objects under a folder that carry a key; unreadable files are counted as null rows with their path."""
+    """JSON objects under a folder that carry a key; an unreadable file is a row of nulls with its path."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(folder, wholetext=True)
-    told = raw.select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("r"), F.get_json_object("value", f"$.{key}").alias("has"))
-    return told.filter("has IS NOT NULL").select("path", "r.*")
+    told = raw.select(F.input_file_name().alias("path"), F.from_json("value", schema).alias("r"), F.get_json_object("value", f"$.{key}").alias("has"), F.try_parse_json("value").isNull().alias("broken"))
+    return told.filter(F.col("has").isNotNull() | F.col("broken")).select("path", "r.*")
 
 
 def unseen(listing: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:

@@ -54,7 +54,7 @@ def hourly_counts(events: DataFrame, late: str = "2 days") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 4).alias("value")).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "event_type", "events", "value")
 
 
-def first_writers(log: DataFrame, late: str = "3650 days") -> DataFrame:
+def first_writers(log: DataFrame, late: str = "30 days") -> DataFrame:
     """Each run once, however often its row arrives within the watermark."""
     cols = [c for c in log.columns if c not in ("arrived_at", "logged_at")]
     return log.withWatermark("arrived_at", late).dropDuplicatesWithinWatermark(["source_id", "pass_name", "logged_at"]).select(*cols, F.col("logged_at").cast("timestamp_ntz").alias("logged_at"))

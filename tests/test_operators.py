@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from quirework.operators import ordered, vectors
+from quirework.operators import ordered, skew, vectors
 
 
 def test_rotation_of_a_hot_group(spark):
@@ -52,3 +52,22 @@ def test_bags_of_a_large_label_are_those_of_a_small_one(spark):
     assert whole == parts and whole[1000] == 1000 and 1001 not in whole and len(set(whole.values())) == 7
     assert all(whole[i] == whole[i % 6] for i in range(240))
     assert vectors.linkage_bags(df.limit(0), "k", "v", "l", 0.4).count() == 0
+
+
+def test_pairs_of_a_large_key_are_met_once(spark):
+    rows = [("hot", i) for i in range(50)] + [("small", 3), ("small", 9), ("one", 1), (None, 4), (None, 5)]
+    got = [(r.k, r.a, r.b) for r in skew.pairs_within(spark.createDataFrame(rows, "k string, i int"), block=8).collect()]
+    assert len(got) == len(set(got)) and set(got) == {("hot", a, b) for a in range(50) for b in range(a + 1, 50)} | {("small", 3, 9)}
+
+
+def test_exact_scan_and_nearest_of_another_label(spark):
+    rnd = np.random.default_rng(6)
+    m = rnd.normal(size=(60, 8))
+    df = spark.createDataFrame([(i, i % 3, [float(x) for x in v]) for i, v in enumerate(m)], "k int, l int, v array<double>")
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    sim = u @ u.T
+    asked = df.filter("k % 5 = 0")
+    got = {(r.query, r.neighbour) for r in vectors.within(asked, df, "k", "v", 0.3, block=4).collect()}
+    assert got == {(i, j) for i in range(0, 60, 5) for j in range(60) if i != j and sim[i, j] >= 0.3}
+    near = {r.query: r.neighbour for r in vectors.neighbours(asked, df, "k", "v", 1, block=4, label="l").collect()}
+    assert near == {i: max((j for j in range(60) if j % 3 != i % 3), key=lambda j: sim[i, j]) for i in range(0, 60, 5)}

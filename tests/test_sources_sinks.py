@@ -103,3 +103,10 @@ def test_shapes(spark):
     assert one(S.slug, " The Making: of It! ") == "the-making-of-it" and one(S.slug, "!!") == "section"
     assert one(S.year_of, "x-1999-2001-0123456789ab") == 2001
     assert one(S.isbn13, "9780306406157") is True and one(S.isbn13, "9780306406158") is False and one(S.isbn13, "0" * 13) is False
+
+
+def test_unreadable_records_are_rows_of_nulls(spark, tmp_path):
+    for name, text in (("a", '{"kind": "x", "n": 1}'), ("b", '{"n": 2}'), ("c", '{"kind": ')):
+        (tmp_path / f"{name}.json").write_text(text)
+    got = {r.path.rpartition("/")[2]: r.n for r in files.records_with(spark, str(tmp_path), "kind", "kind string, n int").collect()}
+    assert got == {"a.json": 1, "c.json": None}
