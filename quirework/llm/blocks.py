@@ -9,11 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.skew import BLOCK, pairs_within
 from ..session import cut
 
-#: Rows of a bucket that are paired in one step; larger buckets are split into blocks of about so many.
-BLOCK = 1024
-
 
 #: More elements than a set has.
 ANY = 1 << 30
@@ -64,7 +62,12 @@ def bucket_pairs(rows: DataFrame, key: str, id_col: str, block: int = BLOCK, bit
     large = met.filter("large").select(F.col("a").alias("k"), F.col("b").alias("i"), "m", "s")
     if large.isEmpty():
         return pairs
-    return pairs.unionByName(_in_blocks(large, block, share if bits else None, differ).select("a", "b")).distinct()
+    alike = None
+    if bits:
+        most = F.greatest("a.s", "b.s") * F.lit(share) - 1e-6
+        own = lambda x, y: F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m")))) <= F.least(F.col(f"{x}.s") - most, F.lit(float(differ)))
+        alike = own("a", "b") & own("b", "a")
+    return pairs.unionByName(pairs_within(large, block, alike).select("a", "b")).distinct()
 
 
 def _large(rows: pd.DataFrame) -> pd.DataFrame:
@@ -97,26 +100,3 @@ def _runs(rows: pd.DataFrame, block: int, passing: int | None, share: float, dif
                 p, q = p[ok], q[ok]
             if len(p):
                 yield pd.DataFrame({"a": np.minimum(ids[p], ids[q]), "b": np.maximum(ids[p], ids[q])}).drop_duplicates().assign(m=np.int64(0), s=np.int32(0), large=False)
-
-
-def pairs_within(rows: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(k, a, b), a < b, of all rows (k, i) of one key k, of any types, each (k, i) once; a key above `block` rows is done by many tasks."""
-    return _in_blocks(rows, block).select("k", "a", "b")
-
-
-def _in_blocks(rows: DataFrame, block: int, share: float | None = None, differ: int = ANY) -> DataFrame:
-    """(k, a, b), a < b, of rows (k, i, and with a share m, s): each row goes to every pair of blocks that its own block is in."""
-    sizes = rows.groupBy("k").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    held = rows.join(sizes, "k").withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    mine = F.pmod(F.xxhash64("i"), F.col("_blocks")).cast("int")
-    partners = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda k: F.struct(F.least(k, F.col("_mine")).alias("p"), F.greatest(k, F.col("_mine")).alias("q")))
-    spread = held.withColumn("_mine", mine).withColumn("_p", F.explode(partners)).select(*rows.columns, "_mine", "_p.p", "_p.q")
-    a, b = spread.alias("a"), spread.alias("b")
-    cond = (F.col("a.k") == F.col("b.k")) & (F.col("a.p") == F.col("b.p")) & (F.col("a.q") == F.col("b.q")) & (F.col("a.i") < F.col("b.i"))
-    # within a block pair (p, q) with p < q only rows of different blocks are paired; p == q pairs the block itself
-    cond &= (F.col("a.p") == F.col("a.q")) | (F.col("a._mine") != F.col("b._mine"))
-    if share is not None:
-        most = F.greatest("a.s", "b.s") * F.lit(share) - 1e-6
-        for x, y in (("a", "b"), ("b", "a")):
-            cond &= F.bit_count(F.col(f"{x}.m").bitwiseAND(F.bitwise_not(F.col(f"{y}.m")))) <= F.least(F.col(f"{x}.s") - most, F.lit(float(differ)))
-    return a.join(b, cond).select(F.col("a.k").alias("k"), F.col("a.i").alias("a"), F.col("b.i").alias("b"))

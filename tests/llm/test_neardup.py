@@ -93,3 +93,21 @@ def test_a_statement_of_a_third_of_all_rows_is_found_whole(spark):
     sets = {i: set(w) for i, w in rows}
     want = {(x, y) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.78 * max(len(sets[x]), len(sets[y]))}
     assert got <= want and len(got) >= 0.98 * len(want), (len(got), len(want))
+
+
+def test_maps_of_bits_lose_no_pair_that_may_be_alike(spark):
+    """In small and in large buckets, pairs of the least share are met whatever their maps."""
+    rnd = random.Random(11)
+    sets = [set(rnd.sample(range(60), 20)) for _ in range(90)]
+    sets += [set(list(s)[:17]) | {100 + i, 101 + i, 102 + i} for i, s in enumerate(sets[:40])]
+    rows = []
+    for i, s in enumerate(sets):
+        bits = 0
+        for x in s:
+            bits |= 1 << (x % 64)
+        rows.append((7, i, bits - (1 << 64) if bits >= 1 << 63 else bits, len(s)))
+    df = spark.createDataFrame(rows, "k bigint, id bigint, m bigint, s int")
+    want = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if len(sets[a] & sets[b]) >= 0.78 * max(len(sets[a]), len(sets[b]))}
+    for block in (1024, 16):
+        got = {(r.a, r.b) for r in bucket_pairs(df, "k", "id", block, bits="m", size="s", share=0.78).collect()}
+        assert want <= got and len(got) < 0.5 * len(sets) ** 2 / 2 and len(want) >= 40

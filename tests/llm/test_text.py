@@ -128,3 +128,17 @@ def test_trees_learn_a_step():
     y = (x[:, 1] > 0.3) * 2.0 + (x[:, 0] > 0) * 1.0
     p = reading.Trees(60, 3, 0.2).fit(x, y).predict(x)
     assert np.abs(p - y).mean() < 0.1
+
+
+def test_all_topics_and_languages_keep_their_margins(spark):
+    """Sixty topics and twenty languages are raked, none as a rest."""
+    from quirework.llm import mixing
+
+    rows = [(i, ("a", "b")[i % 2], f"l{i % 20:02d}"[::-1], f"topic{i % 60}", 100) for i in range(6000)]
+    docs = spark.createDataFrame(rows, "id bigint, source string, lang string, topic string, tokens bigint")
+    targets = spark.createDataFrame([("a", 0.75, 1), ("b", 0.25, 1)], "source string, target_share double, max_repeats int")
+    draws, report = mixing.mixed(docs, targets)
+    shares = {r.source: r.actual_share for r in report.collect()}
+    assert abs(shares["a"] - 0.75) < 0.01 and abs(shares["b"] - 0.25) < 0.01
+    topics = draws.join(docs.select("id", "topic"), "id").groupBy("topic").count().collect()
+    assert len(topics) == 60
