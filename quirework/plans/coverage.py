@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.shapes import ABSTENTION
+from ..operators.skew import asked_keys, union_counts
 from ..session import table
 
 #: Notes from which a name is covered moderately, and densely.
@@ -110,10 +111,20 @@ def agg32_band_histogram(spark: SparkSession, d: str) -> DataFrame:
     return agg10_coverage_map(spark, d).groupBy("source_id").agg(*[F.count_if(F.col("band") == b).alias(b) for b in BANDS])
 
 
+def _asked_notes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """((source_id, o, ks), (chunk_id, ks, srcs)): sources with the numbers of their retrieved names, and the notes that are evidence and mention one, with those and their sources (a null one is one)."""
+    nn, n = _t(spark, d, "note_names", "notes")
+    owners, keys = asked_keys(_retrieved(spark, d), "source_id", "canonical")
+    srcs = n.filter("NOT back_matter AND chunk_id IS NOT NULL").groupBy("chunk_id").agg(F.collect_set(F.struct("source_id")).alias("srcs"))
+    met = nn.select("canonical", "chunk_id").join(keys, "canonical").select("chunk_id", "k").join(srcs, "chunk_id")
+    return owners, met.groupBy("chunk_id").agg(F.collect_set("k").alias("ks"), F.any_value("srcs").alias("srcs"))
+
+
 def agg33_available_notes(spark: SparkSession, d: str) -> DataFrame:
     """Per source: the notes of its retrieved names, each counted once, and the sum over names."""
-    met = _retrieved(spark, d).join(_members(spark, d).select("canonical", "chunk_id"), "canonical")
-    return met.groupBy("source_id", "chunk_id").agg(F.count(F.lit(1)).alias("k")).groupBy("source_id").agg(F.count(F.lit(1)).alias("available"), F.sum("k").alias("by_name"))
+    owners, notes = _asked_notes(spark, d)
+    found = union_counts(owners, notes.select(F.xxhash64("chunk_id").alias("h"), "ks", F.size("srcs").alias("w")))
+    return owners.join(found, "o").select("source_id", F.col("items").alias("available"), F.col("weight").alias("by_name"))
 
 
 def agg35_grounds_by_source(spark: SparkSession, d: str) -> DataFrame:

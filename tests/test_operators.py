@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 
+from oracle import ROOT
 from quirework.operators import ordered, skew, vectors
 
 
@@ -71,3 +72,28 @@ def test_exact_scan_and_nearest_of_another_label(spark):
     assert got == {(i, j) for i in range(0, 60, 5) for j in range(60) if i != j and sim[i, j] >= 0.3}
     near = {r.query: r.neighbour for r in vectors.neighbours(asked, df, "k", "v", 1, block=4, label="l").collect()}
     assert near == {i: max((j for j in range(60) if j % 3 != i % 3), key=lambda j: sim[i, j]) for i in range(0, 60, 5)}
+
+
+def test_items_of_unions(spark):
+    rnd = random.Random(5)
+    keys = [f"k{i}" for i in range(60)]
+    asks = {f"o{i}": set(rnd.sample(keys, rnd.choice([1, 2, 5, 40]))) for i in range(50)} | {"none": {"other"}}
+    has = {i: {k for j, k in enumerate(keys) if rnd.random() < (0.6 if j < 3 else 0.0002 * j)} for i in range(6000)}
+    owners, numbers = skew.asked_keys(spark.createDataFrame([(o, k) for o, ks in asks.items() for k in ks], "owner string, key string"), "owner", "key")
+    number = {r.key: r.k for r in numbers.collect()}
+    items = spark.createDataFrame([(i * 7919, [number[k] for k in ks if k in number], 1 + i % 2) for i, ks in has.items() if ks], "h bigint, ks array<bigint>, w int")
+    want = {o: (sum(1 for x in has.values() if x & ks), sum((1 + i % 2) * len(x & ks) for i, x in has.items())) for o, ks in asks.items()}
+    want = {o: x for o, x in want.items() if x[0]}
+    for item_keys, asked in ((skew.ITEM_KEYS, skew.ASKED_KEYS), (2000, 200)):
+        got = owners.join(skew.union_counts(owners, items, item_keys, asked), "o").collect()
+        assert {r.owner: (r["items"], r.weight) for r in got} == want and "none" not in want
+        assert len(got) == len(want)
+    assert skew.union_counts(owners, items.limit(0)).count() == 0 and skew.union_counts(owners.limit(0), items).count() == 0
+
+
+def test_pairs_of_owner_and_item_are_not_shuffled(spark):
+    from quirework.plans import coverage
+
+    for query in (coverage.agg33_available_notes,):
+        plan = query(spark, f"{ROOT}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "Cogroup" in plan or "CoGroup" in plan
