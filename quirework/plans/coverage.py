@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.shapes import ABSTENTION
 from ..operators.skew import asked_keys, union_counts
-from ..session import table
+from ..session import cut, table
 
 #: Notes from which a name is covered moderately, and densely.
 MODERATE, DENSE = 20, 100
@@ -164,7 +164,13 @@ def agg67_overall_confidence(spark: SparkSession, d: str) -> DataFrame:
 
 def agg68_composition(spark: SparkSession, d: str) -> DataFrame:
     """A sentence for each source: of how many notes and sources the evidence of its names is made."""
-    met = _retrieved(spark, d).join(_members(spark, d), "canonical").groupBy("source_id").agg(F.count_distinct("chunk_id").alias("n"), F.count_distinct("src").alias("k"))
+    owners, notes = _asked_notes(spark, d)
+    notes = cut(notes.select(F.xxhash64("chunk_id").alias("h"), "ks", "srcs", F.lit(1).alias("w")))
+    each = notes.select(F.explode("srcs.source_id").alias("src"), "ks").select("src", F.explode("ks").alias("k"))
+    n = union_counts(owners, notes).select("o", F.col("items").alias("n"))
+    srcs = each.filter("src IS NOT NULL").groupBy("src").agg(F.collect_set("k").alias("ks")).select(F.xxhash64("src").alias("h"), "ks", F.lit(1).alias("w"))
+    k = union_counts(owners, srcs).select("o", F.col("items").alias("k"))
+    met = owners.join(n, "o").join(k, "o", "left").select("source_id", "n", F.coalesce("k", F.lit(0)).alias("k"))
     return met.select("source_id", F.concat(F.col("n").cast("string"), F.when(F.col("n") == 1, " note").otherwise(" notes"), F.lit(" from "), F.col("k").cast("string"), F.when(F.col("k") == 1, " source").otherwise(" sources")).alias("composition"))
 
 

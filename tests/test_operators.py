@@ -94,6 +94,6 @@ def test_items_of_unions(spark):
 def test_pairs_of_owner_and_item_are_not_shuffled(spark):
     from quirework.plans import coverage
 
-    for query in (coverage.agg33_available_notes,):
+    for query in (coverage.agg33_available_notes, coverage.agg68_composition):
         plan = query(spark, f"{ROOT}/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "Cogroup" in plan or "CoGroup" in plan
