@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, table
+from ..session import cut, discard, table
 from .blocks import bucket_pairs
 
 
@@ -80,14 +80,17 @@ def _uniform(h: np.ndarray, j: np.ndarray, salt: int) -> np.ndarray:
     return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+#: Bands that are shuffled at a time.
+BANDS_AT_ONCE = 10
+
 #: Shingles of a single text that are sampled at a time.
 LARGE_BATCH = 20_000
 
 
-def icws(h: np.ndarray, weight: np.ndarray, samples: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of each weighted element: ln a (the least wins) and a hash of (element, t), for each sample."""
+def icws(h: np.ndarray, weight: np.ndarray, samples: int, seed: int, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Of each weighted element: ln a (the least wins) and a hash of (element, t), for each sample from the first on."""
     h = h.astype(np.int64).view(np.uint64)
-    j = np.arange(samples, dtype=np.uint64) + np.uint64(seed * 1_000_003)
+    j = np.arange(first, first + samples, dtype=np.uint64) + np.uint64(seed * 1_000_003)
     r = -np.log(_uniform(h, j, 0) * _uniform(h, j, 1))
     c = -np.log(_uniform(h, j, 2) * _uniform(h, j, 3))
     beta = _uniform(h, j, 4)
@@ -99,8 +102,9 @@ def icws(h: np.ndarray, weight: np.ndarray, samples: int, seed: int) -> tuple[np
     return ln_a, mark
 
 
-def band_hashes(docs: list[np.ndarray], idf: np.ndarray, s: Settings) -> np.ndarray:
-    """(documents, bands) 64-bit hashes. docs: sorted shingle hashes of each, none empty."""
+def band_hashes(docs: list[np.ndarray], idf: np.ndarray, s: Settings, bands: range | None = None) -> np.ndarray:
+    """(documents, bands) 64-bit hashes, of all bands or a range of them. docs: sorted shingle hashes of each, none empty."""
+    bands = bands or range(s.bands)
     lengths = np.array([len(d) for d in docs])
     flat = np.concatenate(docs)
     doc = np.repeat(np.arange(len(docs)), lengths)
@@ -109,28 +113,29 @@ def band_hashes(docs: list[np.ndarray], idf: np.ndarray, s: Settings) -> np.ndar
     at = np.flatnonzero(first)
     tf = np.diff(np.append(at, len(flat)))
     flat, doc = flat[at], doc[at]
-    both, inv = np.unique(np.stack([flat, tf], 1), axis=0, return_inverse=True)
-    inv = inv.reshape(-1)
+    values, code = np.unique(flat, return_inverse=True)
+    code, inv = np.unique(code * (tf.max() + 1) + tf, return_inverse=True)
+    both = np.stack([values[code // (tf.max() + 1)], code % (tf.max() + 1)], 1)
     w = (1 + np.log(both[:, 1])) * idf[(both[:, 0] & (len(idf) - 1)).astype(np.int64)]
-    k = s.bands * s.rows
+    k, j = len(bands) * s.rows, bands[0] * s.rows
     starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     if len(both) > LARGE_BATCH and len(docs) == 1:
         # one very long text: the least so far is carried over parts of its shingles
         best, won = np.full(k, np.inf), np.zeros((1, k), np.uint64)
         for at in range(0, len(both), LARGE_BATCH):
-            ln_a, mark = icws(both[at : at + LARGE_BATCH, 0], w[at : at + LARGE_BATCH], k, s.seed)
+            ln_a, mark = icws(both[at : at + LARGE_BATCH, 0], w[at : at + LARGE_BATCH], k, s.seed, j)
             i = ln_a.argmin(0)
             less = ln_a[i, np.arange(k)] < best
             best = np.where(less, ln_a[i, np.arange(k)], best)
             won[0, less] = mark[i, np.arange(k)][less]
     else:
-        ln_a, mark = icws(both[:, 0], w, k, s.seed)
+        ln_a, mark = icws(both[:, 0], w, k, s.seed, j)
         order = np.argsort(ln_a, axis=0, kind="stable")
         rank = np.empty_like(order, dtype=np.int32)
         np.put_along_axis(rank, order, np.arange(len(both), dtype=np.int32)[:, None], axis=0)
         least = np.minimum.reduceat(rank[inv], starts, axis=0)
         won = np.take_along_axis(mark, np.take_along_axis(order, least, axis=0), axis=0)
-    out = np.tile(np.arange(s.bands, dtype=np.uint64), (len(docs), 1))
+    out = np.tile(np.array(bands, np.uint64), (len(docs), 1))
     with np.errstate(over="ignore"):
         for i in range(s.rows):
             out = (out ^ won[:, i :: s.rows]) * np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +155,7 @@ def idf_table(docs: DataFrame, shingles: str, s: Settings) -> np.ndarray:
     other statements. Groups are counted approximately, in each task first.
     """
     slots = 1 << s.df_bits
-    seen = docs.select(F.explode(F.array_distinct(shingles)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n")).toPandas()
+    seen = cut(docs.select(F.explode(F.array_distinct(shingles)).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))).toPandas()
     freq = np.zeros(slots, np.int64)
     freq[seen.k.to_numpy(np.int64)] = seen.n.to_numpy(np.int64)
     held = docs.sparkSession.sparkContext.broadcast(freq >= KNOWN)
@@ -176,7 +181,7 @@ def idf_table(docs: DataFrame, shingles: str, s: Settings) -> np.ndarray:
 
     groups = docs.select(shingles).mapInPandas(grouped, "g bigint, sh array<bigint>")
     each = groups.select("g", F.explode(F.array_distinct("sh")).alias("h")).groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("k")).agg(F.approx_count_distinct("g", 0.1).alias("n"))
-    found = each.toPandas()
+    found = cut(each).toPandas()
     n = groups.agg(F.approx_count_distinct("g", 0.02)).first()[0]
     count = np.ones(slots)
     count[found.k.to_numpy(np.int64)] = np.maximum(found.n.to_numpy(float), 1)
@@ -204,21 +209,32 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
     scope = F.col(f"`{scope_col}`").cast("string") if scope_col else F.lit("")
     recs = df.select(scope.alias("scope"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("_text")).filter("id IS NOT NULL AND _text IS NOT NULL")
     recs = shingled(recs, "_text", s.words, "sh").select("scope", "id", "sh").filter(F.size("sh") > 0)
-    recs = cut(recs.withColumn("class", F.unhex(F.md5(F.concat_ws(" ", F.coalesce("scope", F.lit("")), F.array_join(F.col("sh").cast("array<string>"), " "))))))
+    full = cut(recs.withColumn("class", F.unhex(F.md5(F.concat_ws(" ", F.coalesce("scope", F.lit("")), F.array_join(F.col("sh").cast("array<string>"), " "))))))
     spark = df.sparkSession
-    classes = cut(recs.groupBy("class").agg(F.any_value("sh").alias("sh")).withColumn("n", F.monotonically_increasing_id()))
+    classes = cut(full.groupBy("class").agg(F.any_value("sh").alias("sh")).withColumn("n", F.monotonically_increasing_id()))
+    recs = cut(full.select("scope", "id", "class"))
+    discard(full)
     idf = spark.sparkContext.broadcast(idf_table(classes, "sh", s))
 
-    def banded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for part in _by_size(pdf, 40_000):
-                docs = [np.asarray(x, np.int64) for x in part.sh]
-                maps = np.array([np.bitwise_or.reduce(np.uint64(1) << (d.view(np.uint64) >> np.uint64(40)) % np.uint64(64)) for d in docs]).view(np.int64)
-                sizes = np.array([1 + np.count_nonzero(d[1:] != d[:-1]) for d in docs], np.int32)
-                yield pd.DataFrame({"n": np.repeat(part.n.to_numpy(), s.bands), "hash": band_hashes(docs, idf.value, s).reshape(-1), "bits": np.repeat(maps, s.bands), "size": np.repeat(sizes, s.bands)})
-
-    # pairs that cannot share enough by their maps of 64 bits are dropped where they meet
-    near = bucket_pairs(classes.select("n", "sh").mapInPandas(banded, "n bigint, hash bigint, bits bigint, size int"), "hash", "n", bits="bits", size="size", share=s.share)
+    def banded(bands: range):
+        def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part in _by_size(pdf, 40_000):
+                    docs = [np.asarray(x, np.int64) for x in part.sh]
+                    low, high = _maps(docs)
+                    sizes = np.array([1 + np.count_nonzero(d[1:] != d[:-1]) for d in docs], np.int32)
+                    each = {"n": part.n.to_numpy(), "low": low, "high": high, "size": sizes}
+                    yield pd.DataFrame({"hash": band_hashes(docs, idf.value, s, bands).reshape(-1), **{c: np.repeat(x, len(bands)) for c, x in each.items()}})
+
+        return rows
+
+    # a few bands at a time are on disk; pairs that cannot share enough by their maps of 128 bits are dropped where they meet
+    met = None
+    for b in range(0, s.bands, BANDS_AT_ONCE):
+        rows = classes.select("n", "sh").mapInPandas(banded(range(b, min(b + BANDS_AT_ONCE, s.bands))), "hash bigint, n bigint, low bigint, high bigint, size int")
+        some = bucket_pairs(rows, "hash", "n", bits=("low", "high"), size="size", share=s.share)
+        met = some if met is None else met.unionByName(some)
+    near = cut(met.distinct())
 
     def verified(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask = len(idf.value) - 1
@@ -234,13 +250,26 @@ def near_duplicates(df: DataFrame, id_col: str, text_col: str, scope_col: str |
             out = pd.concat([pdf[["a", "b"]], out], axis=1)
             yield out[out.share >= s.share - 1e-9]
 
-    # most candidates fall to the share of short hashes; the rest are compared in full
-    brief = classes.select("n", F.array_distinct(F.transform("sh", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("u"))
+    # only classes in a pair are shuffled for it; candidates may fall to the share of short hashes, the rest are compared in full
+    held = near.select(F.col("a").alias("n")).unionByName(near.select(F.col("b").alias("n"))).distinct()
+    paired = cut(classes.join(held, "n", "left_semi"))
+    brief = paired.select("n", F.array_distinct(F.transform("sh", lambda h: h.bitwiseAND(0x7FFFFFFF).cast("int"))).alias("u"))
     told = near.join(brief.select(F.col("n").alias("a"), F.col("u").alias("ua")), "a").join(brief.select(F.col("n").alias("b"), F.col("u").alias("ub")), "b")
     close = told.filter(F.size(F.array_intersect("ua", "ub")) >= F.greatest(F.size("ua"), F.size("ub")) * F.lit(s.share - 1e-6)).select("a", "b")
-    full = close.join(classes.select(F.col("n").alias("a"), F.col("sh").alias("sh_a"), F.col("class").alias("class_a")), "a").join(classes.select(F.col("n").alias("b"), F.col("sh").alias("sh_b"), F.col("class").alias("class_b")), "b")
-    pairs = full.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "sh_a", "sh_b")
-    return NearDuplicates(recs.select("scope", "id", "class"), pairs.mapInPandas(verified, "a binary, b binary, weighted double, share double"))
+    both = close.join(paired.select(F.col("n").alias("a"), F.col("sh").alias("sh_a"), F.col("class").alias("class_a")), "a").join(paired.select(F.col("n").alias("b"), F.col("sh").alias("sh_b"), F.col("class").alias("class_b")), "b")
+    pairs = both.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b"), "sh_a", "sh_b")
+    found = cut(pairs.mapInPandas(verified, "a binary, b binary, weighted double, share double"))
+    for spent in (classes, near, paired):
+        discard(spent)
+    return NearDuplicates(recs, found)
+
+
+def _maps(docs: list[np.ndarray]) -> list[np.ndarray]:
+    """Two maps of 64 bits of each text: one bit of 128 for each shingle."""
+    flat = np.concatenate(docs).view(np.uint64) >> np.uint64(40)
+    starts = np.cumsum([0, *[len(d) for d in docs[:-1]]])
+    bit = np.uint64(1) << flat % np.uint64(64)
+    return [np.bitwise_or.reduceat(np.where((flat >> np.uint64(6)) % np.uint64(2) == i, bit, np.uint64(0)), starts).view(np.int64) for i in (0, 1)]
 
 
 def _by_size(pdf: pd.DataFrame, most: int) -> Iterator[pd.DataFrame]:

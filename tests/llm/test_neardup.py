@@ -4,8 +4,9 @@ import random
 
 import numpy as np
 
+from quirework import session
 from quirework.llm import neardup
-from quirework.llm.blocks import bucket_pairs
+from quirework.llm.blocks import bucket_pairs, may_share
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -111,3 +112,39 @@ def test_maps_of_bits_lose_no_pair_that_may_be_alike(spark):
     for block in (1024, 16):
         got = {(r.a, r.b) for r in bucket_pairs(df, "k", "id", block, bits="m", size="s", share=0.78).collect()}
         assert want <= got and len(got) < 0.5 * len(sets) ** 2 / 2 and len(want) >= 40
+
+
+def test_bands_in_ranges_are_the_bands():
+    rnd = np.random.default_rng(2)
+    docs = [np.sort(rnd.integers(-(2**62), 2**62, n)) for n in (1, 5, 40)] + [np.sort(np.repeat(rnd.integers(-(2**62), 2**62, 9), 2))]
+    s, idf = neardup.Settings(), rnd.uniform(0.05, 4.5, 1 << 18)
+    whole = neardup.band_hashes(docs, idf, s)
+    parts = [neardup.band_hashes(docs, idf, s, range(b, b + 12)) for b in range(0, 60, 12)]
+    assert (np.concatenate(parts, 1) == whole).all()
+
+
+def test_maps_of_unlike_texts_tell_them_apart():
+    """Texts of 28 words of which 11 are common: maps of 128 bits leave few of their pairs, and every pair that is alike."""
+    rnd = np.random.default_rng(3)
+    left = [rnd.integers(-(2**62), 2**62, 28) for _ in range(2000)]
+    sizes = np.full(2000, 28)
+    for common, few in ((11, True), (22, False)):
+        right = [np.r_[x[:common], rnd.integers(-(2**62), 2**62, 28 - common)] for x in left]
+        x, y = (np.stack(neardup._maps([np.sort(d) for d in docs]), 1) for docs in (left, right))
+        met = may_share(x, sizes, y, sizes, 0.78).mean()
+        assert met < 0.005 if few else met == 1
+
+
+def test_shuffle_files_of_a_cut_are_deleted(spark):
+    from pathlib import Path
+
+    folder = Path(spark.sparkContext._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf()))
+    files = lambda: {p.name for p in folder.parent.rglob("shuffle_*.data")}
+    before = files()
+    out = session.cut(spark.range(50_000).selectExpr("id % 1000 AS k", "id").groupBy("k").count())
+    assert not files() - before and out.count() == 1000 and spark.conf.get(session.CLEANUP) == "false"
+    spark.range(50_000).selectExpr("id % 1000 AS k", "id").groupBy("k").count().collect()
+    assert files() - before
+    path = out._cut_path.removeprefix("file://")
+    session.discard(out)
+    assert not Path(path).exists()
