@@ -1,5 +1,8 @@
 """Spellings, stars, clusters and communities."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -207,3 +210,78 @@ def test_one_changed_word_is_the_same_point_and_another_place_is_not(spark):
     pairs = [(x, y) for x in by for y in by if x < y and by[x] == by[y]]
     right = sum(point[x] == point[y] for x, y in pairs)
     assert right >= 0.95 * 120 * 15 and right >= 0.99 * len(pairs), (right, len(pairs))
+
+
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, last = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_every_pair_of_spellings_is_an_edge(spark):
+    rnd = random.Random(11)
+    word, typed = "vanterimolk", set()
+    while len(typed) < 40:
+        w = list(word)
+        w[rnd.randrange(len(w))] = rnd.choice("abdegjopstuvz")
+        typed.add("".join(w))
+    typed = sorted(typed)
+    df, beside = spark.createDataFrame([(w,) for w in typed], "id string"), spark.createDataFrame([(w, "p|anna") for w in typed], "id string, with string")
+    got = [(r.a, r.b) for r in clusters.cluster_words(df, beside=beside)[1].collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == {(a, b) for a in typed for b in typed if a < b and _edits(a, b) <= 2}
+
+
+def test_words_within_edits_are_all_met(spark):
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abcde") for _ in range(rnd.randint(6, 9))) for _ in range(400)}
+    long = "".join(rnd.choice("abcdefghijklmnop") for _ in range(66))
+    words |= {long, long[1:], long[:30] + "z" + long[31:], long[2:], long + "zz"}
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    for edits in (1, 2):
+        met = [(r.a, r.b) for r in spelling.words_within(df, edits).collect()]
+        assert len(met) == len(set(met)) and all(a < b for a, b in met)
+        assert {(a, b) for a in words for b in words if a < b and _edits(a, b) <= edits} <= set(met)
+    read = spark.createDataFrame([("karrnennes", "kamenes"), ("kamenes", "kamenes"), ("other words", "other words")], "word string, read string")
+    assert [(r.a, r.b) for r in spelling.words_within(read, 2, 1).collect()] == [("kamenes", "karrnennes")]
+    assert spelling.words_within(df.limit(0), 2).count() == 0
+
+
+def test_a_hot_point_is_one_and_no_rare_one_is_lost(spark):
+    tell = lambda place, *pairs: [(place, a << 31 | b, 1.0, 9) for a, b in pairs]
+    hot = [(i, tell(1, (2, 3), (4, 5), (6, 7))) for i in range(3000)]
+    # two of three pairs in common; a word in both pairs; one pair in common; pairs of two places; no pair
+    rest = [(5000, tell(8, (2, 3), (4, 5), (10, 11))), (5001, tell(8, (2, 3), (4, 5), (12, 13))), (5002, tell(9, (2, 3), (3, 5))), (5003, tell(9, (2, 3), (3, 5)))]
+    rest += [(5004, tell(7, (20, 21), (22, 23))), (5005, tell(7, (20, 21), (24, 25))), (5006, tell(30, (2, 3)) + tell(31, (4, 5))), (5007, tell(30, (2, 3)) + tell(31, (4, 5))), (5008, [])]
+    feats = spark.createDataFrame(hot + rest, "n bigint, tell array<struct<place:int,unit:bigint,weight:float,k:int>>")
+    got = [(r.a, r.b) for r in clusters._argued(feats).collect()]
+    assert len(got) == len(set(got)) and {p for p in got if p[1] >= 5000} == {(5000, 5001), (5006, 5007)}
+    inside = [p for p in got if p[1] < 5000]
+    assert len(inside) <= clusters.POINT_ORDERS * clusters.POINT_STEPS * len(hot)
+    # beside twice as many edges of other texts the point is one community
+    a, b = zip(*inside)
+    ids, at = communities._louvain(np.array(a), np.array(b), np.ones(len(a)), 3.0 * len(a), 1.0)
+    assert len(ids) == len(hot) and len(set(at.tolist())) == 1
+
+
+def test_components_against_union_find(spark):
+    from quirework.session import cut
+
+    rnd = random.Random(2)
+    edges = [(rnd.randrange(900), rnd.randrange(900)) for _ in range(420)] + [(i, i + 1) for i in range(1000, 1300)] + [(2000, 2000), (2001, 2002), (2002, 2001)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    got = [(r.id, r.root) for r in communities.components(spark.createDataFrame(edges, "a bigint, b bigint"), cut).collect()]
+    assert len(got) == len(root) and dict(got) == {x: find(x) for x in root}
+    assert communities.components(spark.createDataFrame([], "a bigint, b bigint"), cut).count() == 0
